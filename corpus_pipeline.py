@@ -1,19 +1,59 @@
-"""The corpus pipeline: five stages over the table documents, each written and read again."""
+"""The corpus pipeline: five stages over the table documents, each written and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return
+the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lontar.llm import quality_classifier, quality_rules, secret_scan
+from lontar.llm import ngram_join, packing, quality_classifier, quality_rules, secret_scan
 from lontar.llm.common import scratch, table
 
-STAGES = []
-#: The stages hold trained models and compression ratios, which SQL cannot express.
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose chance of the best grade is too low go; the model is fitted on the labelled ones among docs."""
+    model = quality_classifier.train(docs, quality_classifier.graded(table(spark, sf_dir, "labels")))
+    return quality_classifier.score(docs, model).filter("selected").select(*docs.columns)
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a base rule or leave their compression band go."""
+    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 75 % of their 5-word shingles the one with the least id stays; documents without an id stay."""
+    goes = ngram_join.join(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("__goes"))
+    return docs.join(goes, F.col("doc_id") == F.col("__goes"), "left_anti")
+
+
+def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are taken out of the texts; no document goes."""
+    return secret_scan.redact(docs, length_col="n_chars")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The batch and place of each document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier_stage),
+    ("quality_rules", quality_rules_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("secret_scan", secret_scan_stage),
+    ("packing", packing_stage),
+]
+
+#: Trained models and compression ratios are beyond SQL; the pipeline is held against a brute-force version in tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, name)
