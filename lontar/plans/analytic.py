@@ -53,7 +53,8 @@ def supply(t: Tables) -> Rel:
     return groupby(lines, ["ps_partkey", "ps_suppkey"], {"aq": Sum("q"), "sc": Min("unit")})
 
 
-REV: Column = c("ce") * (F.lit(100) - c("cd"))
+def revenue() -> Column:
+    return c("ce") * (F.lit(100) - c("cd"))
 
 
 def year(name: str) -> Column:
@@ -89,7 +90,7 @@ def query(sql: str, with_: tuple[str, ...] = (_LI,)):
 FROM li WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def q01(t: Tables) -> Rel:
     lines = rfilter(line(t, "l_returnflag", "l_linestatus", "l_shipdate", "q", "ce", "cd", "ct"), c("l_shipdate") <= day("1998-09-02"))
-    return groupby(lines, ["l_returnflag", "l_linestatus"], {"sum_qty": Sum("q"), "sum_base": Sum("ce"), "sum_disc": Sum(REV), "sum_charge": Sum(REV * (100 + c("ct"))), "avg_qty": Avg("q"), "avg_price": Avg("ce"), "avg_disc": Avg("cd"), "n": Count()})
+    return groupby(lines, ["l_returnflag", "l_linestatus"], {"sum_qty": Sum("q"), "sum_base": Sum("ce"), "sum_disc": Sum(revenue()), "sum_charge": Sum(revenue() * (100 + c("ct"))), "avg_qty": Avg("q"), "avg_price": Avg("ce"), "avg_disc": Avg("cd"), "n": Count()})
 
 
 @query("""SELECT s_acctbal, s_name, n_name, ps_partkey, ps_suppkey, sc FROM (
@@ -113,7 +114,7 @@ def q03(t: Tables) -> Rel:
     customer = rproject(rfilter(t("customer", "c_custkey", "c_mktsegment"), c("c_mktsegment") == "BUILDING"), ["c_custkey"])
     orders = hashjoin(rfilter(t("orders", "o_orderkey", "o_custkey", "o_orderdate"), c("o_orderdate") < day("1998-03-15")), customer, {"o_custkey": "c_custkey"}, "semi")
     lines = rfilter(line(t, "l_orderkey", "l_shipdate", "ce", "cd"), c("l_shipdate") > day("1998-03-15"))
-    out = groupby(hashjoin(lines, orders, {"l_orderkey": "o_orderkey"}), ["l_orderkey", "o_orderdate"], {"revenue": Sum(REV)})
+    out = groupby(hashjoin(lines, orders, {"l_orderkey": "o_orderkey"}), ["l_orderkey", "o_orderdate"], {"revenue": Sum(revenue())})
     return rlimit(rsort(out, [("revenue", "desc"), ("o_orderdate", "asc"), ("l_orderkey", "asc")]), 10)
 
 
@@ -133,7 +134,7 @@ def q05(t: Tables) -> Rel:
     supplier = hashjoin(t("supplier", "s_suppkey", "s_nationkey"), asia, {"s_nationkey": "n_nationkey"})
     lines = hashjoin(line(t, "l_orderkey", "l_suppkey", "ce", "cd"), supplier, {"l_suppkey": "s_suppkey"})
     orders = hashjoin(t("orders", "o_orderkey", "o_custkey"), t("customer", "c_custkey", "c_nationkey"), {"o_custkey": "c_custkey"})
-    return groupby(hashjoin(lines, orders, {"l_orderkey": "o_orderkey", "s_nationkey": "c_nationkey"}), ["n_name"], {"revenue": Sum(REV)})
+    return groupby(hashjoin(lines, orders, {"l_orderkey": "o_orderkey", "s_nationkey": "c_nationkey"}), ["n_name"], {"revenue": Sum(revenue())})
 
 
 @query("SELECT CAST(sum(ce * cd) AS BIGINT) AS revenue FROM li WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND cd BETWEEN 5 AND 7 AND q < 24")
@@ -150,7 +151,7 @@ def q07(t: Tables) -> Rel:
     orders = hashjoin(t("orders", "o_orderkey", "o_custkey"), customer, {"o_custkey": "c_custkey"})
     lines = hashjoin(line(t, "l_orderkey", "l_suppkey", "l_shipdate", "ce", "cd"), supplier, {"l_suppkey": "s_suppkey"})
     both = hashjoin(lines, orders, {"l_orderkey": "o_orderkey"}, predicate=c("s_nationkey") != c("c_nationkey"))
-    return groupby(rmap(both, {"s_nationkey": c("s_nationkey"), "c_nationkey": c("c_nationkey"), "y": year("l_shipdate"), "rev": REV}), ["s_nationkey", "c_nationkey", "y"], {"revenue": Sum("rev")})
+    return groupby(rmap(both, {"s_nationkey": c("s_nationkey"), "c_nationkey": c("c_nationkey"), "y": year("l_shipdate"), "rev": revenue()}), ["s_nationkey", "c_nationkey", "y"], {"revenue": Sum("rev")})
 
 
 @query("""SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(sum(CASE WHEN s_nationkey = 15 THEN ce * (100 - cd) ELSE 0 END) AS BIGINT)::DOUBLE / CAST(sum(ce * (100 - cd)) AS BIGINT)::DOUBLE AS share
@@ -162,7 +163,7 @@ def q08(t: Tables) -> Rel:
     customer = hashjoin(t("customer", "c_custkey", "c_nationkey"), america, {"c_nationkey": "n_nationkey"}, "semi")
     orders = hashjoin(t("orders", "o_orderkey", "o_custkey", "o_orderdate"), customer, {"o_custkey": "c_custkey"}, "semi")
     lines = hashjoin(hashjoin(line(t, "l_orderkey", "l_partkey", "l_suppkey", "ce", "cd"), part, {"l_partkey": "p_partkey"}, "semi"), t("supplier", "s_suppkey", "s_nationkey"), {"l_suppkey": "s_suppkey"})
-    rows = rmap(hashjoin(lines, orders, {"l_orderkey": "o_orderkey"}), {"y": year("o_orderdate"), "rev": REV, "own": F.when(c("s_nationkey") == 15, REV).otherwise(0)})
+    rows = rmap(hashjoin(lines, orders, {"l_orderkey": "o_orderkey"}), {"y": year("o_orderdate"), "rev": revenue(), "own": F.when(c("s_nationkey") == 15, revenue()).otherwise(0)})
     return rmap(groupby(rows, ["y"], {"own": Sum("own"), "rev": Sum("rev")}), {"y": c("y"), "share": hdiv("own", "rev")})
 
 
@@ -172,7 +173,7 @@ def q09(t: Tables) -> Rel:
     part = rfilter(t("part", "p_partkey", "p_name"), sqllike("p_name", "%plate%"))
     lines = hashjoin(line(t, "l_orderkey", "l_partkey", "l_suppkey", "ce", "cd", "q"), part, {"l_partkey": "p_partkey"}, "semi")
     costed = hashjoin(hashjoin(lines, supply(t), {"l_partkey": "ps_partkey", "l_suppkey": "ps_suppkey"}), t("supplier", "s_suppkey", "s_nationkey"), {"l_suppkey": "s_suppkey"})
-    rows = rmap(hashjoin(costed, t("orders", "o_orderkey", "o_orderdate"), {"l_orderkey": "o_orderkey"}), {"s_nationkey": c("s_nationkey"), "y": year("o_orderdate"), "p": REV - 100 * c("sc") * c("q")})
+    rows = rmap(hashjoin(costed, t("orders", "o_orderkey", "o_orderdate"), {"l_orderkey": "o_orderkey"}), {"s_nationkey": c("s_nationkey"), "y": year("o_orderdate"), "p": revenue() - 100 * c("sc") * c("q")})
     return groupby(rows, ["s_nationkey", "y"], {"profit": Sum("p")})
 
 
@@ -181,8 +182,8 @@ WHERE l_returnflag = 'R' AND o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderda
 def q10(t: Tables) -> Rel:
     orders = rfilter(t("orders", "o_orderkey", "o_custkey", "o_orderdate"), between("o_orderdate", "1997-10-01", "1998-01-01"))
     lines = rfilter(line(t, "l_orderkey", "l_returnflag", "ce", "cd"), c("l_returnflag") == "R")
-    revenue = groupby(hashjoin(lines, orders, {"l_orderkey": "o_orderkey"}), ["o_custkey"], {"revenue": Sum(REV)})
-    named = hashjoin(hashjoin(revenue, t("customer", "c_custkey", "c_name", "c_acctbal", "c_nationkey"), {"o_custkey": "c_custkey"}), t("nation", "n_nationkey", "n_name"), {"c_nationkey": "n_nationkey"})
+    by_customer = groupby(hashjoin(lines, orders, {"l_orderkey": "o_orderkey"}), ["o_custkey"], {"revenue": Sum(revenue())})
+    named = hashjoin(hashjoin(by_customer, t("customer", "c_custkey", "c_name", "c_acctbal", "c_nationkey"), {"o_custkey": "c_custkey"}), t("nation", "n_nationkey", "n_name"), {"c_nationkey": "n_nationkey"})
     out = rmap(named, {"c_custkey": c("c_custkey"), "c_name": c("c_name"), "acctbal": cents("c_acctbal"), "n_name": c("n_name"), "revenue": c("revenue")})
     return rlimit(rsort(out, [("revenue", "desc"), ("c_custkey", "asc")]), 20)
 
@@ -215,7 +216,7 @@ FROM li JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '1997-0
 def q14(t: Tables) -> Rel:
     lines = rfilter(line(t, "l_partkey", "l_shipdate", "ce", "cd"), between("l_shipdate", "1997-09-01", "1997-10-01"))
     both = hashjoin(lines, t("part", "p_partkey", "p_type"), {"l_partkey": "p_partkey"})
-    sums = groupby(both, [], {"promo": Sum(F.when(c("p_type").startswith("PROMO"), REV).otherwise(0)), "rev": Sum(REV)})
+    sums = groupby(both, [], {"promo": Sum(F.when(c("p_type").startswith("PROMO"), revenue()).otherwise(0)), "rev": Sum(revenue())})
     return rmap(sums, {"promo": F.lit(100) * c("promo").cast("double") / c("rev").cast("double")})
 
 
@@ -223,8 +224,8 @@ def q14(t: Tables) -> Rel:
   WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-04-01' GROUP BY l_suppkey) JOIN supplier ON l_suppkey = s_suppkey WHERE total = most""")
 def q15(t: Tables) -> Rel:
     lines = rfilter(line(t, "l_suppkey", "l_shipdate", "ce", "cd"), between("l_shipdate", "1996-01-01", "1996-04-01"))
-    revenue = groupby(lines, ["l_suppkey"], {"total": Sum(REV)})
-    best = hashjoin(revenue, scalar(revenue, "most", Max("total")), {"total": "most"})
+    totals = groupby(lines, ["l_suppkey"], {"total": Sum(revenue())})
+    best = hashjoin(totals, scalar(totals, "most", Max("total")), {"total": "most"})
     return rproject(hashjoin(best, t("supplier", "s_suppkey", "s_name"), {"l_suppkey": "s_suppkey"}), ["s_suppkey", "s_name", "total"])
 
 
@@ -263,7 +264,7 @@ def q19(t: Tables) -> Rel:
     band = lambda brand, low, high, size: (c("p_brand") == brand) & c("q").between(low, high) & c("p_size").between(1, size)
     any_band = band("Brand#12", 1, 11, 25) | band("Brand#23", 10, 20, 30) | band("Brand#13", 20, 30, 35)
     both = hashjoin(line(t, "l_partkey", "q", "ce", "cd"), t("part", "p_partkey", "p_brand", "p_size"), {"l_partkey": "p_partkey"}, predicate=any_band)
-    return groupby(both, [], {"revenue": Sum(REV)})
+    return groupby(both, [], {"revenue": Sum(revenue())})
 
 
 @query("""SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT ps_suppkey FROM ps JOIN (SELECT l_partkey, l_suppkey, CAST(sum(q) AS BIGINT) AS used FROM li WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY ALL)
