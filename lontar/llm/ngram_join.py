@@ -127,12 +127,16 @@ def entries(where: np.ndarray, shingle: np.ndarray, size: np.ndarray, p: Params)
         yield text[run], mix(total[run] - e[gone] + place[run]), seg[run] + p.deletable, np.full(len(gone), lower), slack[text[run]]
 
 
-_ENTRY = np.dtype([("key", "<u8"), ("text", "<u2"), ("unit", "i1"), ("lower", "?"), ("slack", "<i2")])
-_TEXT = np.dtype([("set", "<i8"), ("size", "<i4")])
+#: A text of a block: its set, size, and the slack of its units in its own band and as a prober of the band below.
+_TEXT = np.dtype([("set", "<i8"), ("size", "<i4"), ("slack", "<i2", 2)])
 
 
 def _pack(size: np.ndarray, ids: np.ndarray, where: np.ndarray, shingle: np.ndarray, p: Params, partitions: int) -> Iterator[tuple[int, bytes]]:
-    """(partition, texts and entries) of one block of texts; equal sets of the block count once."""
+    """(partition, texts and entries) of one block of texts; equal sets of the block count once.
+
+    Entries are held column by column: the upper 48 bits of the key, the text's number in the block, unit and band. That the
+    lower bits are gone only adds candidates, which verification drops.
+    """
     _, first = np.unique(ids, return_index=True)
     keep = np.zeros(len(ids), bool)
     keep[first] = True
@@ -142,50 +146,64 @@ def _pack(size: np.ndarray, ids: np.ndarray, where: np.ndarray, shingle: np.ndar
     if not parts:
         return
     text, key, unit, lower, slack = (np.concatenate(x) for x in zip(*parts))
+    texts = np.zeros(len(ids), _TEXT)
+    texts["set"], texts["size"] = ids, size
+    for band in (0, 1):
+        of = lower == bool(band)
+        texts["slack"][text[of], band] = np.clip(slack[of], -1, 32000)
     part = (key % U(partitions)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(partitions + 1))
+    tag = ((unit.astype(np.int64) + 1) * 2 + lower).astype(np.uint8)
+    high = key.view(np.uint8).reshape(-1, 8)[:, 2:]  # little-endian: the upper six bytes
     for k in range(partitions):
         some = order[cuts[k] : cuts[k + 1]]
-        if not len(some):
-            continue
-        own, local = np.unique(text[some], return_inverse=True)
-        for a in range(0, len(own), 1 << 16):  # texts of a block are numbered in 16 bits
-            here = (local >= a) & (local < a + (1 << 16))
-            texts, rows = np.zeros(len(own[a : a + (1 << 16)]), _TEXT), np.zeros(int(here.sum()), _ENTRY)
-            texts["set"], texts["size"] = ids[own[a : a + (1 << 16)]], size[own[a : a + (1 << 16)]]
-            rows["key"], rows["text"], rows["unit"], rows["lower"] = key[some][here], local[here] - a, unit[some][here], lower[some][here]
-            rows["slack"] = np.clip(slack[some][here], -1, 32000)
-            yield k, struct.pack("<i", len(texts)) + texts.tobytes() + rows.tobytes()
-
-
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries of all blobs with the set and size of each."""
-    rows, sets, sizes = [], [], []
+        some = some[np.argsort(text[some], kind="stable")]
+        for at in _runs(text[some]):
+            rows = some[at]
+            own, local = np.unique(text[rows], return_inverse=True)
+            yield k, struct.pack("<ii", len(own), len(rows)) + texts[own].tobytes() + local.astype("<u2").tobytes() + tag[rows].tobytes() + high[rows].tobytes()
+
+
+def _runs(text: np.ndarray) -> Iterator[slice]:
+    """Parts of ascending text numbers with at most 2^16 different ones, which 16 bits can number."""
+    if not len(text):
+        return
+    begin = np.append(_starts(text), len(text))
+    for a in range(0, len(begin) - 1, 1 << 16):
+        yield slice(int(begin[a]), int(begin[min(a + (1 << 16), len(begin) - 1)]))
+
+
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """key, set, size, tag and slack of the entries of all blobs."""
+    keys, sets, sizes, tags, slacks = [], [], [], [], []
     for blob in blobs:
-        (n,) = struct.unpack_from("<i", blob)
-        texts = np.frombuffer(blob, _TEXT, n, 4)
-        some = np.frombuffer(blob, _ENTRY, -1, 4 + n * _TEXT.itemsize)
-        rows.append(some)
-        sets.append(texts["set"][some["text"]])
-        sizes.append(texts["size"][some["text"]])
-    return np.concatenate(rows), np.concatenate(sets), np.concatenate(sizes)
+        n, m = struct.unpack_from("<ii", blob)
+        texts = np.frombuffer(blob, _TEXT, n, 8)
+        at = 8 + n * _TEXT.itemsize
+        local, tag = np.frombuffer(blob, "<u2", m, at), np.frombuffer(blob, np.uint8, m, at + 2 * m)
+        raw = np.zeros((m, 8), np.uint8)
+        raw[:, :6] = np.frombuffer(blob, np.uint8, 6 * m, at + 3 * m).reshape(m, 6)
+        keys.append(raw.view("<u8").ravel())
+        sets.append(texts["set"][local])
+        sizes.append(texts["size"][local])
+        tags.append(tag)
+        slacks.append(texts["slack"][local, tag & 1])
+    return tuple(np.concatenate(x) for x in (keys, sets, sizes, tags, slacks))
 
 
 def _groups(blobs: list[bytes]) -> pa.RecordBatch | None:
     """Keys that two sets or more share, as lists of members. Keys with the same list of plain segments are one row with their number."""
-    rows, sets, sizes = _unpack(blobs)
-    order = np.argsort(rows["key"], kind="stable")
-    key = rows["key"][order]
-    at = _starts(key)
+    key, sets, sizes, tag, slack = _unpack(blobs)
+    order = np.argsort(key, kind="stable")
+    at = _starts(key[order])
     count = np.diff(np.append(at, len(key)))
     order = order[np.repeat(count > 1, count)]
-    rows, sets, sizes = rows[order], sets[order], sizes[order]
-    if not len(rows):
+    if not len(order):
         return None
-    tag = (rows["unit"].astype(np.int64) + 1) * 2 + rows["lower"]
-    order = np.lexsort((tag, sets, rows["key"]))
-    key, sets, sizes, tag, slack = rows["key"][order], sets[order], sizes[order], tag[order], rows["slack"][order]
+    key, sets, sizes, tag, slack = key[order], sets[order], sizes[order], tag[order].astype(np.int64), slack[order]
+    order = np.lexsort((tag, sets, key))
+    key, sets, sizes, tag, slack = key[order], sets[order], sizes[order], tag[order], slack[order]
     new = np.ones(len(key), bool)  # equal sets came from several blocks
     new[1:] = (key[1:] != key[:-1]) | (sets[1:] != sets[:-1]) | (tag[1:] != tag[:-1])
     key, sets, sizes, tag, slack = (x[new] for x in (key, sets, sizes, tag, slack))
@@ -269,16 +287,34 @@ def shared_keys(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return docs.mapInArrow(index, "part int, blob binary").repartitionById(partitions, F.col("part")).mapInArrow(gather, GROUP)
 
 
-def _bits(ids: DataFrame) -> bytes:
-    """A bitmap of hashed document ids; its size is bounded, so it may go to every task."""
-    count = ids.count()
-    power = min(30, max(16, (16 * count).bit_length()))
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << power)).cast("long")
-    rows = ids.select((spot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
+def _bits(values: DataFrame) -> bytes:
+    """A bitmap of the longs in the column x, 16 bits for each and 2^30 at most, so it may go to every task.
+
+    A value stands at its last bits after `mix`; where the bitmap fills up it only lets more pass.
+    """
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").to_numpy(zero_copy_only=False).view(U)
+            yield pa.RecordBatch.from_arrays([pa.array((mix(x) & U((1 << power) - 1)).astype(np.int64) + 1)], names=["s"])
+
+    power = min(30, max(16, (16 * values.count()).bit_length()))
+    rows = values.mapInArrow(spots, "s long").groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
     out = bytearray(1 << (power - 3))
     for r in rows:
-        out[(r.b - 1) * 4096 : r.b * 4096] = r.m[: len(out)]
-    return bytes(out[: 1 << (power - 3)])
+        out[(r.b - 1) * 4096 : r.b * 4096] = r.m
+    return bytes(out)
+
+
+def bits_of(bitmap: bytes):
+    """Which of the values are in a bitmap of `_bits`, and a few others."""
+    bits = np.frombuffer(bitmap, np.uint8)
+
+    def has(x: np.ndarray) -> np.ndarray:
+        at = (mix(x) & U(8 * len(bits) - 1)).astype(np.int64)
+        return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    return has
 
 
 def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -288,24 +324,23 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, p: Params = Param
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = materialise(ids.join(sets, "set_id").select("set_id", "doc_id"))
-    shipped = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select("doc_id")))
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(shipped.value))).cast("long")
+    shipped = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select(F.col("doc_id").alias("x"))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shipped.value, np.uint8)
+        has = bits_of(shipped.value)
 
         def passed() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.column("spot").to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array((bits[at >> 3] >> (at & 7)).astype(np.uint8) & 1 == 1))
+                yield batch.filter(pa.array(has(batch.column("doc_id").to_numpy(zero_copy_only=False).view(U))))
 
         for batch, where, shingle, _, ids in _each_block(passed(), p):
             cuts = np.searchsorted(where, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), pa.array([shingle[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["doc_id", "made", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([shingle[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["made", "blob"])
 
-    made = docs.filter("doc_id is not null").withColumn("spot", spot).mapInArrow(cut, "doc_id long, made long, blob binary")
-    blobs = materialise(wanted.join(made, "doc_id").filter("made = set_id").select("set_id", "blob"))
-    rows = pairs.join(blobs.select(F.col("set_id").alias("b"), F.col("blob").alias("blob_b")), "b").join(blobs.select(F.col("set_id").alias("a"), F.col("blob").alias("blob_a")), "a")
+    # Both joins read one exchange of the sets. The few other sets that the bitmap lets pass meet no pair.
+    made = docs.filter("doc_id is not null").mapInArrow(cut, "made long, blob binary")
+    rows = pairs.join(made, F.col("b") == F.col("made")).select("a", "b", F.col("blob").alias("blob_b"))
+    rows = rows.join(made, F.col("a") == F.col("made")).select("a", "b", F.col("blob").alias("blob_a"), "blob_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +351,7 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, p: Params = Param
                 linked.append(100 * both >= p.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return rows.select("a", "b", "blob_a", "blob_b").mapInArrow(check, "a long, b long").distinct()
+    return rows.mapInArrow(check, "a long, b long").distinct()
 
 
 def _ordered(a: str, b: str) -> list:
@@ -363,7 +398,9 @@ def join(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col
     members = _members(groups)
     fits = F.expr(f"100 * least(size, other) >= {p.percent} * greatest(size, other)")
     of = sets.select(F.col("set_id").alias("hub"), F.col("n_shingles").alias("other"))
-    star = members.filter("set_id != hub").select("hub", "set_id", "size").distinct().join(of, "hub").filter(fits)
+    # The first round is for near copies, which share many keys with their hub; pairs that share few are left to the second.
+    star = members.filter("set_id != hub").groupBy("hub", "set_id").agg(F.max("size").alias("size"), F.sum("times").alias("shared")).filter("20 * shared >= size")
+    star = star.join(of, "hub").filter(fits)
     first = materialise(star.select(*_ordered("hub", "set_id")).distinct())
     linked = materialise(verify(docs, sets, first, p))
     labels = components(linked, rounds=2)
@@ -399,16 +436,36 @@ def short_of_units(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def by_shingle(docs: DataFrame, short: DataFrame, p: Params) -> DataFrame:
-    """Linked pairs of the sets in `short` with sets that are not larger, by counting the shingles they share."""
+    """Linked pairs of the sets in `short` with sets that are not larger, by counting the shingles they share.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, where, shingle, size, ids in _each_block(batches, p):
-            for a in range(0, len(where), 1 << 16):
-                w = where[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[w]), pa.array(size[w]), pa.array(shingle[a : a + (1 << 16)].view(np.int64))], names=["other_id", "other", "shingle"])
+    Two bitmaps of bounded size, of the short sets' ids and of their shingles, go to every task, so hardly any other shingles are shuffled.
+    """
 
-    cells = docs.mapInArrow(run, "other_id long, other long, shingle long").distinct()
-    own = cells.join(short.select(F.col("set_id").alias("other_id")), "other_id", "left_semi").select(F.col("other_id").alias("set_id"), F.col("other").alias("size"), "shingle")
-    both = own.join(cells, "shingle").filter(f"set_id != other_id and other <= size and 100 * other >= {p.percent} * size")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = bits_of(ids.value)
+        for _, where, shingle, size, sets in _each_block(batches, p):
+            use = mine(sets.view(U))[where]
+            yield from _cells(sets, size, where[use], shingle[use])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = bits_of(shingles.value)
+        for _, where, shingle, size, sets in _each_block(batches, p):
+            use = wanted(shingle) & (size <= most)[where] & (100 * size >= p.percent * least)[where]
+            yield from _cells(sets, size, where[use], shingle[use])
+
+    context = docs.sparkSession.sparkContext
+    least, most = short.agg(F.min("size"), F.max("size")).first()
+    ids = context.broadcast(_bits(short.select(F.col("set_id").alias("x"))))
+    cells = "other_id long, other long, shingle long"
+    own = docs.mapInArrow(cut, cells).join(short.select(F.col("set_id").alias("other_id")), "other_id", "left_semi").distinct()
+    own = materialise(own.select(F.col("other_id").alias("set_id"), F.col("other").alias("size"), "shingle"))
+    shingles = context.broadcast(_bits(own.select(F.col("shingle").alias("x"))))
+    both = own.join(docs.mapInArrow(meet, cells).distinct(), "shingle").filter(f"set_id != other_id and other <= size and 100 * other >= {p.percent} * size")
     count = both.groupBy("set_id", "other_id", "size", "other").agg(F.count(F.lit(1)).alias("n"))
     return count.filter(f"100 * n >= {p.percent} * (size + other - n)").select(*_ordered("set_id", "other_id")).distinct()
+
+
+def _cells(sets: np.ndarray, size: np.ndarray, where: np.ndarray, shingle: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(where), 1 << 16):
+        w = where[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(sets[w]), pa.array(size[w]), pa.array(shingle[a : a + (1 << 16)].view(np.int64))], names=["other_id", "other", "shingle"])
