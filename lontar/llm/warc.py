@@ -92,15 +92,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 
 class Source:
-    """Random access to a file by blocks."""
+    """Random access to a file; the last block read is kept, so neighbouring records cost one read."""
 
-    def __init__(self, uri: str, block: int = 1 << 18):
+    def __init__(self, uri: str, block: int = 1 << 20):
         fs, path = _open(uri)
         self.file, self.block = fs.open_input_file(path), block
         self.size = self.file.size()
+        self.start, self.held = 0, b""
 
     def at(self, start: int, n: int) -> bytes:
-        return self.file.read_at(min(n, max(0, self.size - start)), start) if start < self.size else b""
+        n = min(n, max(0, self.size - start))
+        if not self.start <= start <= start + n <= self.start + len(self.held):
+            self.start, self.held = start, self.file.read_at(min(max(n, self.block), self.size - start), start) if n else b""
+        return self.held[start - self.start : start - self.start + n]
 
 
 def is_record(source: Source, at: int) -> bool:
@@ -113,9 +117,10 @@ def is_record(source: Source, at: int) -> bool:
 
 def _whole(source: Source, at: int) -> tuple[bytes, int]:
     """The decoded member that starts here, and where the next one starts."""
-    decoder, parts, pos = zlib.decompressobj(31), [], at
+    decoder, parts, pos, step = zlib.decompressobj(31), [], at, 1 << 12
     while not decoder.eof:
-        data = source.at(pos, source.block)
+        data = source.at(pos, step)
+        step = min(2 * step, source.block)
         if not data:
             raise ValueError(f"truncated gzip member at byte {at}")
         parts.append(decoder.decompress(data))
