@@ -172,10 +172,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", keep: list[s
     text = f"`{text_col}`"
     some = F.expr(f"{text} rlike '[0-9@]'")
     found = F.when(some, F.expr(f"transform(regexp_extract_all({text}, {pattern}, 0), m -> named_struct('was', m, 'new', {pseudonym(key, 'm')}))"))
-    rows = docs.withColumn("__found", found)
-    joined = F.expr(f"array_join(zip_with(split({text}, {pattern}, -1), __found, (a, b) -> concat(a, coalesce(b.new.value, b.was, ''))), '')")
-    any_new = F.expr("coalesce(exists(__found, x -> x.new is not null), false)")
-    counts = [F.expr(f"coalesce(cast(size(filter(__found, x -> x.new.kind = '{k}')) as bigint), 0L)").alias(f"n_{k}") for k in KINDS]
+    at = "__found"
+    while at in docs.columns:
+        at += "_"
+    rows = docs.withColumn(at, found)
+    joined = F.expr(f"array_join(zip_with(split({text}, {pattern}, -1), {at}, (a, b) -> concat(a, coalesce(b.new.value, b.was, ''))), '')")
+    any_new = F.expr(f"coalesce(exists({at}, x -> x.new is not null), false)")
+    counts = [F.expr(f"coalesce(cast(size(filter({at}, x -> x.new.kind = '{k}')) as bigint), 0L)").alias(f"n_{k}") for k in KINDS]
     order = [c for c in (docs.columns if keep is None else keep) if c not in made]
     columns = [F.when(any_new, joined).otherwise(F.col(text)).alias(c) if c == text_col else F.col(f"`{c}`") for c in order]
     return rows.select(*columns, *[F.when(any_new, c).otherwise(F.lit(0).cast("long")).alias(f"n_{k}") for c, k in zip(counts, KINDS)])
