@@ -53,7 +53,7 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id, size, text_crc32) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM light
 ),
 placed AS (
-  SELECT *, row_number() OVER (ORDER BY (2 * r + 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS FIRST, k, doc_id, size, text_crc32) - 1 AS p, count(*) OVER () AS total FROM ranked
+  SELECT *, row_number() OVER (ORDER BY (256 * r + ('0x' || substr(md5('interleave:source:' || coalesce(source, 'null')), 1, 2))::BIGINT)::DOUBLE / (256 * n)::DOUBLE, source NULLS FIRST, k, doc_id, size, text_crc32) - 1 AS p, count(*) OVER () AS total FROM ranked
 )
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (p * 24 // total)::INTEGER AS shard,
   (p - ((p * 24 // total) * total + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source

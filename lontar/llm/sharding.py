@@ -1,9 +1,10 @@
 """Sharding by proportional stratified interleaving, with DataFrame operations only.
 
 Within each source the rows are ranked in a seeded random order. A row of rank r among the n
-of its source stands at the fraction (2r + 1) / 2n; rows of all sources are merged by it, and the merged
+of its source stands at the fraction (r + u) / n, where u in [0, 1) is drawn for each source so that sources
+of one size do not fall on the same places; rows of all sources are merged by it, and the merged
 order is cut into equal runs. Each run then holds every source in its share of the whole, to
-within a row or so, and the runs' row counts differ by one at most (law `rows`).
+within a few rows, and the runs' row counts differ by one at most (law `rows`).
 
 No source is brought into one task: ranks come from counts of ranges of the order (see
 `common.gapless_rank`), so a source with a third of all rows costs as many tasks as its size asks for.
@@ -55,8 +56,10 @@ def assign(docs: DataFrame, shards: int, seed: str = "interleave", id_col: str =
     ranked = gapless_rank(in_source, ["source"], "__cell", [F.col("__key"), *ties], "__rank").drop("__cell")
     of_source = light.groupBy(F.col("source").alias("__source")).agg(F.count(F.lit(1)).alias("__of"))
     ranked = ranked.join(of_source, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    ranked = ranked.withColumn("__cell", F.expr(f"((2 * __rank + 1) * {cells}) div (2 * __of)"))
-    ranked = materialise(ranked.withColumn("__at", (2 * F.col("__rank") + 1).cast("double") / (2 * F.col("__of")).cast("double")))
+    phase = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:source:"), F.coalesce("source", F.lit("null")))), 1, 2), 16, 10).cast("long")
+    ranked = ranked.withColumn("__part", 256 * F.col("__rank") + phase)
+    ranked = ranked.withColumn("__cell", F.expr(f"(__part * {cells}) div (256 * __of)"))
+    ranked = materialise(ranked.withColumn("__at", F.col("__part").cast("double") / (256 * F.col("__of")).cast("double")).drop("__part"))
     placed = gapless_rank(ranked, [], "__cell", [F.col("__at"), F.col("source"), F.col("__key"), *ties], "position")
     shard = F.expr(f"(position * {shards}) div {max(total, 1)}")
     start = F.expr(f"(shard * {max(total, 1)} + {shards - 1}) div {shards}")
