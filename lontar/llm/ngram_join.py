@@ -120,11 +120,11 @@ def entries(where: np.ndarray, shingle: np.ndarray, size: np.ndarray, p: Params)
         special = seg < p.deletable
         units = np.bincount(text, minlength=len(size)) + np.bincount(text[special & (count >= 2)], minlength=len(size))
         slack = units - (p.differ(size + np.minimum(size, high)) + 1)
-        yield text, mix(total + place), np.where(special, seg, -1), np.full(len(text), lower), slack[text]
+        yield text.astype(np.int32), mix(total + place), np.where(special, seg, -1).astype(np.int8), np.full(len(text), lower), slack[text].astype(np.int32)
         run = np.repeat(np.arange(len(at)), count)
         gone = np.flatnonzero((special & (count >= 2))[run])
         run = run[gone]
-        yield text[run], mix(total[run] - e[gone] + place[run]), seg[run] + p.deletable, np.full(len(gone), lower), slack[text[run]]
+        yield text[run].astype(np.int32), mix(total[run] - e[gone] + place[run]), (seg[run] + p.deletable).astype(np.int8), np.full(len(gone), lower), slack[text[run]].astype(np.int32)
 
 
 #: A text of a block: its set, size, and the slack of its units in its own band and as a prober of the band below.
@@ -151,10 +151,10 @@ def _pack(size: np.ndarray, ids: np.ndarray, where: np.ndarray, shingle: np.ndar
     for band in (0, 1):
         of = lower == bool(band)
         texts["slack"][text[of], band] = np.clip(slack[of], -1, 32000)
-    part = (key % U(partitions)).astype(np.int64)
+    part = (key % U(partitions)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(partitions + 1))
-    tag = ((unit.astype(np.int64) + 1) * 2 + lower).astype(np.uint8)
+    tag = (unit + 1).astype(np.uint8) * np.uint8(2) + lower
     high = key.view(np.uint8).reshape(-1, 8)[:, 2:]  # little-endian: the upper six bytes
     for k in range(partitions):
         some = order[cuts[k] : cuts[k + 1]]
@@ -245,16 +245,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _each_block(batches: Iterator[pa.RecordBatch], p: Params):
+    """Blocks of a few megabytes of text with their shingles: (rows, text index, shingle, sizes, set ids)."""
     for whole in batches:
-        for batch in textscan.pieces(whole, "text", 16 * textscan.BLOCK):
-            parts = [textscan.shingle_sets(*textscan.utf8(piece.column("text")), p.width) for piece in textscan.pieces(batch, "text")]
-            base, where = 0, []
-            for piece, (w, _) in zip(textscan.pieces(batch, "text"), parts):
-                where.append(w + base)
-                base += piece.num_rows
-            where, shingle = np.concatenate(where), np.concatenate([x for _, x in parts])
-            size, ids = set_ids(where, shingle, batch.num_rows)
-            yield batch, where, shingle, size, ids
+        for batch in textscan.pieces(whole, "text"):
+            where, shingle = textscan.shingle_sets(*textscan.utf8(batch.column("text")), p.width)
+            yield batch, where, shingle, *set_ids(where, shingle, batch.num_rows)
 
 
 def document_sets(docs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -336,7 +336,7 @@ def test_join_edges(spark, edges, nothing):
     by = defaultdict(set)
     for x in got:
         by[x.doc_id].add((x.n_shingles, x.component_id))
-    assert by[1] == by[6] == {(12, 1)} and by[2] == {(0, 2)} and by[3] == {(0, 3)} and by[4] == {(0, 4)} and by[5] == {(1, 5)} and by[None] == {(1, None)} and len(by[9]) == 2
+    assert by[1] == by[6] == {(13, 1)} and by[2] == {(0, 2)} and by[3] == {(0, 3)} and by[4] == {(0, 4)} and by[5] == {(1, 5)} and by[None] == {(1, None)} and len(by[9]) == 2
     assert ngram_join.join(nothing).count() == 0
 
 
