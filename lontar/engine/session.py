@@ -424,6 +424,17 @@ class Session:
         names = [t.column(c).name for c in columns] if columns is not None else [c.name for c in t.columns]
         return self._open().read(t).orderBy(ORD).select(*[F.col(f"`{c}`") for c in names])
 
+    def stream(self, name: str, columns: Iterable[str] | None = None, batch: int = 256) -> Iterator[list[tuple]]:
+        """Rows in insertion order, in batches; the driver holds one partition at a time."""
+        rows: list[tuple] = []
+        for row in self.scan_rows(name, columns).toLocalIterator(prefetchPartitions=False):
+            rows.append(tuple(row))
+            if len(rows) == batch:
+                yield rows
+                rows = []
+        if rows:
+            yield rows
+
     def relation(self, name: str, columns: Iterable[str] | None = None, prefix: str = "") -> Rel:
         t = self.manifest.table(name)
         self.reads.add(name)

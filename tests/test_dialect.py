@@ -289,6 +289,8 @@ def test_versions(s, spark, tmp_path):
     copy = Session(spark, str(tmp_path / "copy"))
     copy.execute("Pilih 'Toko' -:")
     assert rows(copy, "Tampilkan 'A' -:") == [[1], [2]]
+    assert list(s.stream("A", batch=1)) == [[(1,)], [(2,)]]
+    assert s.db.version_at(dt.datetime.now(dt.timezone.utc)) == s.manifest.csn
     s.db.restore_at(csn)
     assert rows(s, "Tampilkan 'A' -:") == [[1]]
     assert s.db.vacuum() >= 2 and rows(s, "Tampilkan 'A' -:") == [[1]]
