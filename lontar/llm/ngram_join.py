@@ -48,6 +48,7 @@ from lontar.llm.textscan import mix
 
 U = np.uint64
 CHUNK = 1 << 16
+CELLS = 128
 
 
 @dataclass(frozen=True)
@@ -151,6 +152,9 @@ def _pack(size: np.ndarray, ids: np.ndarray, where: np.ndarray, shingle: np.ndar
     for band in (0, 1):
         of = lower == bool(band)
         texts["slack"][text[of], band] = np.clip(slack[of], -1, 32000)
+    bad = np.flatnonzero((texts["slack"] < 0).any(1) & keep)  # sets short of units, told to one partition, without entries
+    for k, row in zip((texts["set"][bad] % partitions).tolist(), bad):
+        yield k, struct.pack("<ii", 1, 0) + texts[row : row + 1].tobytes()
     part = (key % U(partitions)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(partitions + 1))
@@ -192,6 +196,18 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in (keys, sets, sizes, tags, slacks))
 
 
+def _short(blobs: list[bytes]) -> pa.RecordBatch:
+    """The sets short of units as rows of no keys (times 0)."""
+    texts = np.unique(np.concatenate([np.frombuffer(b, _TEXT, 1, 8) for b in blobs]))
+    one = pa.array(np.arange(len(texts) + 1), pa.int32())
+    lists = lambda x, kind: pa.ListArray.from_arrays(one, pa.array(x, kind))
+    none = np.zeros(len(texts), np.int8)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(texts["set"]), lists(texts["set"], pa.int64()), lists(texts["size"], pa.int32()), lists(none, pa.int8()), lists(none.astype(bool), pa.bool_()), lists(none, pa.int16())],
+        names=["gid", "times", "hub", "sets", "sizes", "units", "lowers", "slacks"],
+    )
+
+
 def _groups(blobs: list[bytes]) -> pa.RecordBatch | None:
     """Keys that two sets or more share, as lists of members. Keys with the same list of plain segments are one row with their number."""
     key, sets, sizes, tag, slack = _unpack(blobs)
@@ -253,17 +269,42 @@ def _each_block(batches: Iterator[pa.RecordBatch], p: Params):
 
 
 def document_sets(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of every row of (doc_id, text)."""
+    """(doc_id, n_shingles, set_id, cells) of every row of (doc_id, text). cells: how many shingles fall in each of CELLS parts, 255 for more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, where, shingle, size, ids in _each_block(batches, p):
+            cell = where * CELLS + (shingle & U(CELLS - 1)).astype(np.int64)
+            count = np.minimum(np.bincount(cell, minlength=len(size) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(ids), pa.array([r.tobytes() for r in count], pa.binary())], names=["doc_id", "n_shingles", "set_id", "cells"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, cells binary")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, light: DataFrame, p: Params) -> DataFrame:
+    """Those of the pairs (a, b) that may be linked by their cells: two sets share no more of a cell than either has there.
+
+    It lets no linked pair go, and most others before their texts are read.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    wanted = ids.join(sets.select("set_id", "doc_id"), "set_id")
+    cells = light.select(F.col("doc_id").alias("doc"), F.col("set_id").alias("of"), "n_shingles", "cells")
+    cells = materialise(wanted.join(cells, (F.col("doc_id") == F.col("doc")) & (F.col("set_id") == F.col("of"))).select("set_id", "n_shingles", "cells"))
+    rows = pairs.join(cells, F.col("b") == F.col("set_id")).select("a", "b", F.col("n_shingles").alias("n_b"), F.col("cells").alias("cells_b"))
+    rows = rows.join(cells, F.col("a") == F.col("set_id")).select("a", "b", F.col("n_shingles").alias("n_a"), "n_b", F.col("cells").alias("cells_a"), "cells_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _, size, ids in _each_block(batches, p):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(ids)], names=["doc_id", "n_shingles", "set_id"])
+        for batch in batches:
+            x, y = (textscan.utf8(batch.column(c))[0].reshape(-1, CELLS).astype(np.int32) for c in ("cells_a", "cells_b"))
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            both = np.minimum(x, y).sum(1)
+            keep = ((x == 255) & (y == 255)).any(1) | (100 * both >= p.percent * (n - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return materialise(rows.mapInArrow(run, "a long, b long").distinct())
 
 
 def shared_keys(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The groups of sets that share an index key (schema GROUP)."""
+    """The groups of sets that share an index key, and the sets short of units (schema GROUP, times 0)."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +315,10 @@ def shared_keys(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [blob for batch in batches for blob in batch.column("blob").to_pylist()]
-        found = _groups(blobs) if blobs else None
+        full, short = ([b for b in blobs if (struct.unpack_from("<ii", b)[1] > 0) == kind] for kind in (True, False))
+        if short:
+            yield _short(short)
+        found = _groups(full) if full else None
         if found is not None:
             for a in range(0, found.num_rows, 4096):
                 yield found.slice(a, 4096)
@@ -390,21 +434,22 @@ def join(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col
     full = light.filter("n_shingles > 0")
     sets = materialise(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")))
     groups = materialise(shared_keys(docs, p))
-    members = _members(groups)
+    members = _members(groups.filter("times > 0"))
     fits = F.expr(f"100 * least(size, other) >= {p.percent} * greatest(size, other)")
     of = sets.select(F.col("set_id").alias("hub"), F.col("n_shingles").alias("other"))
     # The first round is for near copies, which share many keys with their hub; pairs that share few are left to the second.
     star = members.filter("set_id != hub").groupBy("hub", "set_id").agg(F.max("size").alias("size"), F.sum("times").alias("shared")).filter("20 * shared >= size")
     star = star.join(of, "hub").filter(fits)
-    first = materialise(star.select(*_ordered("hub", "set_id")).distinct())
+    first = possible(materialise(star.select(*_ordered("hub", "set_id")).distinct()), sets, light, p)
     linked = materialise(verify(docs, sets, first, p))
     labels = components(linked, rounds=2)
     left, probing = probes(members, labels, p)
     index = left.filter("not lower").select("gid", F.col("set_id").alias("other_id"), F.col("size").alias("other"), F.col("label").alias("other_label"))
     meet = probing.join(index, (probing.gid == index.gid) & (probing.label != index.other_label) & (index.other <= probing["size"]) & fits)
     second = materialise(meet.select(*_ordered("set_id", "other_id")).distinct().join(first, ["a", "b"], "left_anti"))
+    second = possible(second, sets, light, p)
     links = linked.union(verify(docs, sets, second, p))
-    short = materialise(short_of_units(docs, p))
+    short = groups.filter("times = 0").select(F.col("hub").alias("set_id"), F.col("sizes")[0].cast("long").alias("size")).distinct()
     if not short.isEmpty():
         links = links.union(by_shingle(docs, short, p))
     final = components(links)
@@ -416,20 +461,6 @@ def join(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "set_id")
 
 
-def short_of_units(docs: DataFrame, p: Params) -> DataFrame:
-    """(set_id, size) of the sets whose units do not come to what they need, in their own band or the one below."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, where, shingle, size, ids in _each_block(batches, p):
-            bad = np.zeros(len(size), bool)
-            for text, _, _, _, slack in entries(where, shingle, size, p):
-                bad[text[slack < 0]] = True
-            some = np.flatnonzero(bad)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(size[some])], names=["set_id", "size"])
-
-    return docs.mapInArrow(run, "set_id long, size long").distinct()
-
-
 def by_shingle(docs: DataFrame, short: DataFrame, p: Params) -> DataFrame:
     """Linked pairs of the sets in `short` with sets that are not larger, by counting the shingles they share.
 
