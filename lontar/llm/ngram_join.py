@@ -73,7 +73,7 @@ class Params:
 
     def segments(self, high: np.ndarray) -> np.ndarray:
         """Segments of a band up to size `high`: the need of its largest prober, which may be high * 100 / percent, and some to spare."""
-        return self.differ(high + high * 100 // self.percent) + 2 + self.spare * high // 1000
+        return np.maximum(1, self.differ(high + high * 100 // self.percent) + 2 + self.spare * high // 1000)
 
 
 def _starts(where: np.ndarray) -> np.ndarray:

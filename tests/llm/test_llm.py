@@ -291,9 +291,9 @@ def brute_components(texts):
     return {k: (len(sets[k]), find(k)) for k in texts}
 
 
-def check_join(spark, texts):
+def check_join(spark, texts, p=ngram_join.Params()):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, p).collect()}
     want = brute_components(texts)
     assert got == want, [(k, got.get(k), want[k]) for k in want if got.get(k) != want[k]][:5]
 
@@ -330,6 +330,16 @@ def test_join_common_passage_and_hot_group(spark):
     check_join(spark, texts)
 
 
+def test_join_with_too_few_segments(spark):
+    """Sets that run short of units find their partners by shingle."""
+    r, texts = random.Random(6), {}
+    for k in range(120):
+        w = texts[r.choice(list(texts))].split() if texts and k % 2 else [f"w{k}_{i}" for i in range(r.randint(10, 50))]
+        w[r.randrange(len(w))] = f"n{k}"
+        texts[k] = " ".join(w)
+    check_join(spark, texts, ngram_join.Params(deletable=0, spare=-200))
+
+
 def test_join_edges(spark, edges, nothing):
     got = ngram_join.join(edges).collect()
     assert len(got) == len(EDGES)
@@ -359,7 +369,7 @@ def test_pigeonhole_units():
     g, p = np.random.default_rng(0), ngram_join.Params()
     for n in [1, 2, 3, 4, 5, 7, 9, 12, 20, 33, 60, 150, 400]:
         for _ in range(20):
-            a = np.sort(g.integers(0, 1 << 63, n, dtype=np.uint64))
+            a = np.sort(g.integers(0, 1 << 64, n, dtype=np.uint64))
             out = list(ngram_join.entries(np.zeros(n, np.int64), a, np.array([n]), p))
             assert all((slack >= 0).all() for *_, slack in out), n
 
@@ -481,7 +491,7 @@ def test_compression_bands(spark):
     prose = " ".join(g.choices(words, weights, k=1500))
     mild = "the same phrase again and again with few changes number {} and so it goes on "
     repetitive = "".join(mild.format(i) for i in range(120))
-    noise = " ".join("".join(chr(g.randint(0x4E00, 0x9FFF)) for _ in range(3)) for _ in range(800))
+    noise = " ".join("".join(chr(g.randint(33, 126)) for _ in range(12)) for _ in range(600))
     docs = spark.createDataFrame([(1, prose), (2, repetitive), (3, noise)], "doc_id long, text string")
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert got[1].kept and not got[2].kept and not got[3].kept and got[2].zstd_ratio < got[1].zstd_ratio < got[3].zstd_ratio
