@@ -405,13 +405,16 @@ def _members(groups: DataFrame) -> DataFrame:
 def probes(members: DataFrame, labels: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """The members of groups with several labels, and those of them that still probe their group, by cost-based allocation."""
     named = members.join(labels.select(F.col("u").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    per = materialise(named.groupBy("gid", "label").agg(F.sum(F.when(F.col("lower"), 0).otherwise(1)).alias("here")))
-    several = materialise(per.groupBy("gid").agg(F.sum("here").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels"))
-    left = materialise(named.join(several, "gid"))
-    cost = left.join(per, ["gid", "label"]).withColumn("cost", F.col("all") - F.col("here"))
+    several = materialise(named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("gid"))
+    # A plain group comes in one row from each index partition that holds keys of it: its keys are those of all of them.
+    whole = named.join(several, "gid").groupBy("gid", "set_id", "size", "unit", "lower", "label").agg(F.sum("times").alias("times"), F.min("slack").alias("slack"))
+    left = materialise(whole)
+    per = materialise(left.groupBy("gid", "label").agg(F.sum(F.when(F.col("lower"), 0).otherwise(1)).alias("here")))
+    everywhere = per.groupBy("gid").agg(F.sum("here").alias("all"))
+    cost = left.join(per.join(everywhere, "gid"), ["gid", "label"]).withColumn("cost", F.col("all") - F.col("here"))
     # One row for each unit of a set: a plain group of keys, a segment, or the deletions of a segment (which need the segment too).
     unit = F.when(F.col("unit") < 0, F.col("gid")).otherwise(F.col("unit").cast("long"))
-    units = cost.groupBy("set_id", "lower", "unit", unit.alias("name")).agg(F.sum("cost").alias("cost"), F.max("times").cast("long").alias("count"), F.min("slack").alias("slack"))
+    units = cost.groupBy("set_id", "lower", "unit", unit.alias("name")).agg(F.sum("cost").alias("cost"), F.max("times").alias("count"), F.min("slack").alias("slack"))
     segment = F.when(F.col("unit") < 0, F.lit(None)).otherwise(F.col("unit") % p.deletable)
     own = Window.partitionBy("set_id", "lower", "segment")
     units = units.withColumn("segment", segment)

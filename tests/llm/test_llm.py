@@ -374,6 +374,29 @@ def test_pigeonhole_units():
             assert all((slack >= 0).all() for *_, slack in out), n
 
 
+def test_units_of_a_group_in_many_partitions(spark):
+    """A group of plain keys is worth its keys in all index partitions, so the slack cannot leave it out as if it were one."""
+    rows = [(1, 1, 5, k, 200, -1, False, 20) for k in (10, 20) for _ in range(40)] + [(2, 1, 5, k, 200, -1, False, 20) for k in (10, 20)]
+    rows += [(key, 1, 5, 10, 200, 8, False, 20) for key in range(100, 130)] + [(key, 1, 5, 20, 200, 8, False, 20) for key in range(100, 130)]  # deletions: one unit
+    members = spark.createDataFrame(rows, "gid long, times int, hub long, set_id long, size int, unit int, lower boolean, slack int")
+    left, probing = ngram_join.probes(members, spark.createDataFrame([], "u long, label long"), ngram_join.Params())
+    assert sorted((r.gid, r.set_id) for r in probing.collect()) == [(1, 10), (1, 20), (2, 10), (2, 20)]
+    assert sorted((r.gid, r.set_id) for r in left.collect()) == sorted((g, k) for g in (1, 2, *range(100, 130)) for k in (10, 20))
+
+
+def test_join_passage_families_over_many_partitions(spark):
+    texts, low = {}, int(next(x for x in ngram_join.Params().bands() if x >= 600))
+    for f in range(8):  # a linked pair and others that share the passage but are too different
+        for k, tail in enumerate([15, 18, *(low * x // 100 for x in range(42, 47))]):
+            texts[len(texts)] = " ".join([f"p{f}_{i}" for i in range(low)] + [f"o{f}_{k}_{i}" for i in range(tail)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        check_join(spark, texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (200, 100)]
     got = {r.u: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
