@@ -520,6 +520,45 @@ def test_compression_bands(spark):
     assert got[1].kept and not got[2].kept and not got[3].kept and got[2].zstd_ratio < got[1].zstd_ratio < got[3].zstd_ratio
 
 
+@pytest.fixture
+def good_prose():
+    """Texts that are labelled good, one after the other."""
+    con = duckdb.connect()
+    rows = con.execute("select text from '/root/testdata/sf0.01/documents.parquet' join '/root/testdata/sf0.01/labels.parquet' using (doc_id) where quality = 1 and length(text) > 3000 order by doc_id").fetchall()
+    return " ".join(t for t, in rows).encode()
+
+
+def in_band(data):
+    bands = quality_rules.Bands()
+    ratio, bad = quality_rules.compression(data, bands, __import__("zstandard").ZstdCompressor(level=bands.level))
+    low, high = bands.band(len(data))
+    return low <= ratio <= high and bad <= bands.bad_chunks
+
+
+def encoded(r, alphabet, size):
+    return " ".join("".join(r.choices(alphabet, k=r.randint(8, 20))) for _ in range(size // 8)).encode()[:size]
+
+
+def test_compression_of_encoded_data():
+    """base64 is outside every band but the first, hexadecimal digits from 2,400 bytes on (below, prose reaches their ratios)."""
+    r = random.Random(3)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    ends = [end for end, *_ in quality_rules.Bands().limits[1:-1]]
+    for size in [*(e - 1 for e in ends), 20_000]:
+        assert not any(in_band(encoded(r, base64, size)) for _ in range(10)), size
+        assert size < 2400 or not any(in_band(encoded(r, "0123456789abcdef", size)) for _ in range(10)), size
+
+
+def test_every_chunk_is_judged(good_prose):
+    r = random.Random(4)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for k, (prose, junk) in enumerate([(4000, 4100), (3000, 5000), (9000, 4096), (9000, 2000), (5000, 1500)]):
+        text = good_prose[k * 10_000 :][:prose]
+        assert in_band(text) and not in_band(text + b" " + encoded(r, base64, junk)), (prose, junk)
+        assert not in_band(encoded(r, base64, junk) + b" " + text)
+    assert in_band(good_prose[:12_288]) and not in_band(good_prose[:12_288] + (b"the same phrase again " * 300)[:6000])
+
+
 # --- 10 quality classifier
 
 
