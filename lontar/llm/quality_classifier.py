@@ -5,8 +5,10 @@ ordered thresholds cut it, P(grade <= k) = sigmoid(threshold_k - score). From th
 expected grade and the tail probability P(grade >= k) by which rows are selected.
 
 The model is fitted on a bounded sample of labelled rows (`most_labels`, those with the
-smallest md5 of their id), a part of which is held out: on it the selection limit is set so
-that `keep_share` of the best grade is kept. Scoring is one narrow pass over every row.
+smallest md5 of their id), a part of which is held out. Grades between the poorest and the best (toxic text) are
+rare and count `rare_weight` times in the fit. On the held-out rows the selection limit is set: as low as `keep_share` of the
+best grade asks, but higher where less than `rare_recall` of the grades between would go, while `least_share` of the best stays.
+Scoring is one narrow pass over every row.
 
 Null text is an empty text. A label with a null id or grade is ignored; of several labels of
 one id the lowest counts. With fewer than two grades nothing can be fitted: probabilities are
@@ -78,9 +80,10 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit(where: np.ndarray, slot: np.ndarray, shape: np.ndarray, grade: np.ndarray, grades: int, steps: int = 250, least_rows: int = 4, penalty: float = 2e-4) -> Ordinal:
-    """Maximum likelihood with an L2 penalty, by Adam over the whole sample; words in fewer than `least_rows` rows stay at 0."""
+def fit(where: np.ndarray, slot: np.ndarray, shape: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400, least_rows: int = 4, penalty: float = 1e-3, weight: np.ndarray | None = None) -> Ordinal:
+    """Maximum likelihood with an L2 penalty, by Adam over the whole sample; words in fewer than `least_rows` rows stay at 0. weight: of each row."""
     n = len(grade)
+    part_of = np.full(n, 1 / n) if weight is None else weight / weight.sum()
     often = np.bincount(slot, minlength=1 << BITS) >= least_rows
     use = often[slot]
     where, slot = where[use], slot[use]
@@ -101,8 +104,8 @@ def fit(where: np.ndarray, slot: np.ndarray, shape: np.ndarray, grade: np.ndarra
         up, low = sigma(padded[grade + 1] - score), sigma(padded[grade] - score)
         chance = np.maximum(up - low, 1e-9)
         d_up, d_low = up * (1 - up) / chance, low * (1 - low) / chance
-        d_score = (d_up - d_low) / n
-        d_cut = np.array([(-d_up * (grade == k) + d_low * (grade == k + 1)).sum() / n for k in range(grades - 1)])
+        d_score = (d_up - d_low) * part_of
+        d_cut = np.array([((-d_up * (grade == k) + d_low * (grade == k + 1)) * part_of).sum() for k in range(grades - 1)])
         d_gap = np.exp(x[s_end + 1 :]) * np.cumsum(d_cut[::-1])[::-1][1:]
         g = np.concatenate([np.bincount(local, weights=d_score[where], minlength=w_end), z.T @ d_score, [d_cut.sum()], d_gap])
         g[:s_end] += penalty * x[:s_end]
@@ -131,7 +134,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, gr
     return sorted((r.id, r.grade, r.slots, r.shape) for r in got)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most_labels: int = 8000, hold_out: int = 4, keep_share: float = 0.995) -> Ordinal | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most_labels: int = 8000, hold_out: int = 4, keep_share: float = 0.995, rare_weight: float = 3.0, rare_recall: float = 0.75, least_share: float = 0.98) -> Ordinal | None:
     """Fit on labelled rows; each `hold_out`-th of them sets the limit on P(best grade)."""
     rows = _labelled(docs, labels, id_col, text_col, grade_col, most_labels)
     grade = np.array([r[1] for r in rows], np.int64)
@@ -143,10 +146,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = np.arange(len(rows)) % hold_out == 0
     pack = lambda some: (np.repeat(np.arange(len(some)), [len(slots[i]) for i in some]), np.concatenate([slots[i] for i in some]), shape[some])
     fitted, aside = np.flatnonzero(~held), np.flatnonzero(held)
-    model = fit(*pack(fitted), grade[fitted], grades)
-    best = model.tails(model.score(*pack(aside)))[:, -1][grade[aside] == grades - 1]
+    between = (grade > 0) & (grade < grades - 1)
+    model = fit(*pack(fitted), grade[fitted], grades, weight=np.where(between[fitted], rare_weight, 1.0))
+    chance = model.tails(model.score(*pack(aside)))[:, -1]
+    best, rare = chance[grade[aside] == grades - 1], chance[between[aside]]
     if len(best):
-        model.limit = float(min(0.5, np.quantile(best, 1 - keep_share)))
+        model.limit = float(np.quantile(best, 1 - keep_share))
+        if len(rare):
+            model.limit = float(max(model.limit, min(np.quantile(rare, rare_recall), np.quantile(best, 1 - least_share))))
     return model
 
 

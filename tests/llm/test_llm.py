@@ -587,6 +587,16 @@ def test_classifier_holds_out(spark):
     assert np.mean([r.expected_grade for r in best]) - np.mean([r.expected_grade for r in poor]) > 1.2
 
 
+def test_classifier_bounds_toxic_documents(spark):
+    """On labels that the fit has not seen: few good documents go, and most toxic ones."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), quality_classifier.graded(spark.read.parquet(f"{folder}/labels.parquet"))
+    model = quality_classifier.train(docs, labels.filter("doc_id % 3 != 0"))
+    rows = quality_classifier.score(docs, model, keep=["doc_id"]).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
+    share = {grade: np.mean([r.selected for r in rows if r.grade == grade]) for grade in range(3)}
+    assert share[0] < 0.02 and share[1] < 0.5 and share[2] > 0.96, share
+
+
 def test_classifier_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(1, 2), (1, 0), (5, 2), (8, 0), (None, 1), (9, None), (77, 2)], "doc_id long, grade int")
     model = quality_classifier.train(edges, labels)
