@@ -3,7 +3,8 @@
 Three base patterns (kinds `assign`, `access`, `hex`) find spans that always stay. Further
 candidates are all runs of 16 or more characters of the token alphabet that mix letters and
 digits; the network reads each of them with the characters around it, and those above its
-threshold are added as kind `token`, unless they overlap a base span.
+threshold are added as kind `token`, unless they overlap a base span. A run longer than INNER is read by its head
+and tail and by overlapping windows over all of it; its highest score counts, and the whole run is the span.
 
 The network is numpy only: embedded characters, one convolution, ReLU, the maximum and mean over places,
 a logistic unit. It is trained on labelled findings: `labelled` makes them from a seed, secrets
@@ -79,7 +80,7 @@ _CODE = _alphabet()
 
 
 def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Character codes around each span; a long span is seen by its head and tail."""
+    """Character codes around each span; a long span is seen by its head and tail (`views` has the rest)."""
     rows = np.zeros((len(spans), WIDTH), np.int64)
     for i, (a, b) in enumerate(spans):
         inner = text[a:b] if b - a <= INNER else text[a : a + INNER // 2] + text[b - INNER // 2 : b]
@@ -206,13 +207,27 @@ def default_network(seed: int = 11, n_train: int = 3000, n_held: int = 1500) ->
     return train(labelled(seed, n_train), labelled(seed + 1, n_held))
 
 
+def views(a: int, b: int) -> list[tuple[int, int]]:
+    """What the network reads of a candidate: the span and, of a long one, windows that overlap by half, up to its end."""
+    return [(a, b)] + ([(x, x + INNER) for x in [*range(a, b - INNER, INNER // 2), b - INNER]] if b - a > INNER else [])
+
+
+def scores(text: str, spans: list[tuple[int, int]], net: CharCNN) -> np.ndarray:
+    """The highest probability among the views of each span."""
+    seen = [(i, v) for i, (a, b) in enumerate(spans) for v in views(a, b)]
+    out = np.zeros(len(spans))
+    for at in range(0, len(seen), 4096):
+        some = seen[at : at + 4096]
+        np.maximum.at(out, [i for i, _ in some], net.probability(windows(text, [v for _, v in some])))
+    return out
+
+
 def scan(text: str, net: CharCNN) -> list[tuple[int, int, int]]:
     """All spans of one text: the base ones, and candidates that the network takes for secrets."""
     base = base_spans(text)
     rest = [(a, b) for a, b in candidates(text) if not any(s < b and a < e for s, _, e in base)]
     if rest:
-        p = net.probability(windows(text, rest))
-        base = sorted(base + [(a, 3, b) for (a, b), x in zip(rest, p) if x >= net.threshold])
+        base = sorted(base + [(a, 3, b) for (a, b), x in zip(rest, scores(text, rest, net)) if x >= net.threshold])
     return base
 
 

@@ -431,6 +431,20 @@ def test_secret_network():
     assert [text[a:b] for a, k, b in secret_scan.scan(text, net) if k == 3] == ["ghp_a8Kd93jfLq0ZxY2mN7bV4cR1tW6sE5uQ9oPi"]
 
 
+def test_secret_within_a_long_run():
+    net, r = secret_scan.default_network(), random.Random(8)
+    word = lambda: "".join(r.choices("an be co da en fi ge ho in jo ka lu me no or ti".split(), k=r.randint(1, 3)))
+    found = plain = 0
+    for _ in range(60):
+        mark = r.choice("/_-=")
+        key = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+        head, tail = (mark.join(["docs", *(word() for _ in range(k)), "page7"]) for k in (8, 9))
+        text = f"see {head}{mark}{key}{mark}{tail} there"
+        found += secret_scan.scan(text, net) == [(4, 3, len(text) - 6)]
+        plain += bool(secret_scan.scan(f"see {head}{mark}{tail} there", net))
+    assert found >= 57 and plain <= 3, (found, plain)
+
+
 def test_secret_columns(spark, edges, nothing):
     got = secret_scan.find(edges, keep=["doc_id", "text", "shard"]).collect()
     assert len(got) == len(EDGES)
