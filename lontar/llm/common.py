@@ -37,6 +37,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage with a table written in the shared folder.
+
+    Unlike a checkpoint it also has its true size, so that a plan that is built round by round on earlier results can broadcast what is
+    small, and does not multiply sizes estimated in every round before.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the files of a table that `settle` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def uniform_cell(key: Column, bits: int = 32) -> Column:
     """The first `bits` bits of an md5 hex string as a long."""
     return F.conv(F.substring(key, 1, bits // 4), 16, 10).cast("long")

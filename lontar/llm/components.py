@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lontar.llm.common import materialise
+from lontar.llm.common import materialise, remove, settle
 
 
 def spread(both: DataFrame, labels: DataFrame) -> DataFrame:
@@ -16,23 +16,24 @@ def spread(both: DataFrame, labels: DataFrame) -> DataFrame:
     near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("label"))
     least = materialise(labels.unionByName(near).groupBy("u").agg(F.min("label").alias("label")))
     of = least.select(F.col("u").alias("label"), F.col("label").alias("up"))
-    return materialise(least.join(of, "label").select("u", F.col("up").alias("label")))
+    return settle(least.join(of, "label").select("u", F.col("up").alias("label")), "labels")
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, label): the least node reachable from each node that has an edge. edges: (a, b) longs, any direction, repeats allowed.
 
-    `rounds` stops early; labels are then sound (equal labels are connected) but may not be complete.
     Each round writes its labels to the shared folder, so a lost executor costs one round at most.
     """
-    both = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a"))).filter("u != v").distinct())
-    labels = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
+    turned = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a"))).filter("u != v").distinct()
+    both = settle(turned, "edges")
+    labels = settle(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
     sign = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.col("label").cast("decimal(38,0)"))).first()  # noqa: E731  labels only fall, so their sum shows any change
-    before, done = sign(labels), 0
-    while rounds is None or done < rounds:
-        labels = spread(both, labels)
-        after, done = sign(labels), done + 1
+    before = sign(labels)
+    while True:
+        after_labels = spread(both, labels)
+        remove(labels)
+        labels, after = after_labels, sign(after_labels)
         if after == before:
-            break
+            remove(both)
+            return labels
         before = after
-    return labels

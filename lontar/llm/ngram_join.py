@@ -14,19 +14,28 @@ else each segment would differ by its units at least, H + 1 in all.
 Allocation. Segments of a set that no other set shares cost nothing to probe, so they are all
 probed. Of the others the most expensive ones (those that yield most candidates) are left out as long as the units suffice.
 
-Hot groups. In a group of thousands of near copies everything is shared by all, and all pairs would be too many.
-So a first round verifies only each set of a group against the group's hub, which
-links near copies through it. In the second round, candidates within one component are needless and cost
-nothing; only those between different components are probed by allocation, and all of these are verified.
+First round. Each set of a group (the sets that share a key) is verified against the group's hub, which links near copies through it.
+After that, candidates within one component are needless and cost nothing.
+
+Second round. Groups with few members give all their pairs between components. The sets of wide groups, where all pairs
+would be too many, are partitioned once more, so finely that each shingle is a segment of its own, and
+allocation takes the rarest ones: if a set's shingles stand in order of how many of these sets hold them, the first one
+that it shares with a partner comes early, since all that follow must make up the intersection. A shingle at place i of s allows partners up to
+`reach` = (100 + P)(s - i) / P - s, and both sides must allow the other. Shingles whose members have one label, or that no two members
+of different labels allow, go; what is left is again joined to a hub for each shingle (the member with the farthest reach
+for its size), round by round as long as that links something, and the few pairs then left are verified all.
 No pair that links two components goes unseen, so the components are exact.
 
 Verification is exact: the sets are made again from the texts, for candidates only, and intersected.
 Shingles are held as 64-bit hashes.
 
-Sets too small for their units (hardly any) go another way: all sets of partner sizes are joined to them by shingle.
+Sets too small for their units (hardly any) go another way: in blocks of bounded size they are held against every text.
 
-The index travels as packed arrays: for each block of texts and each partition one row. At the
-partition they are sorted by key in numpy; keys with one set, nearly all, end there.
+The index travels as packed arrays: for each block of texts and each bucket of keys one row. Buckets follow the number of
+shingles and are read one after the other, sorted by key in numpy; keys with one set, nearly all, end there. A key that
+`heavy` sets of one block share is dealt over all buckets, and its home bucket is told, so no bucket holds a hot key alone.
+
+Rows are told apart by a hash of id and text, so ids may be of any type, null or repeated.
 """
 
 from __future__ import annotations
@@ -42,23 +51,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lontar.llm import textscan
-from lontar.llm.common import materialise
+from lontar.llm.common import materialise, settle
 from lontar.llm.components import components
 from lontar.llm.textscan import mix
 
 U = np.uint64
 CHUNK = 1 << 16
 CELLS = 128
+#: The fewest segments of a band: small sets would otherwise fall into one or two and be short of units.
+SMALL = 16
+#: The most hub rounds before the pairs that are left are verified all.
+ROUNDS = 6
+#: Shingles of sets short of units that go to every task at once.
+AT_ONCE = 1 << 21
 
 
 @dataclass(frozen=True)
 class Params:
-    """percent: the least similarity. deletable: segments with one-deletion neighbourhoods. spare: segments beyond the need, in thousandths of the largest size."""
+    """percent: the least similarity. deletable: segments with one-deletion neighbourhoods (all, where there are SMALL of them). spare: segments beyond the need, in thousandths of the largest size.
+    heavy: sets of one block that make a key heavy. wide: members above which a group is wide. bucket: shingles to a bucket of the index."""
 
     percent: int = 75
     width: int = 5
     deletable: int = 8
     spare: int = 12
+    heavy: int = 64
+    wide: int = 8
+    bucket: int = 1 << 21
 
     def differ(self, total: np.ndarray) -> np.ndarray:
         """The most elements in which two linked sets of these sizes together can differ."""
@@ -73,7 +92,7 @@ class Params:
 
     def segments(self, high: np.ndarray) -> np.ndarray:
         """Segments of a band up to size `high`: the need of its largest prober, which may be high * 100 / percent, and some to spare."""
-        return np.maximum(1, self.differ(high + high * 100 // self.percent) + 2 + self.spare * high // 1000)
+        return np.maximum(SMALL, self.differ(high + high * 100 // self.percent) + 3 + self.spare * high // 1000)
 
 
 def _starts(where: np.ndarray) -> np.ndarray:
@@ -96,7 +115,7 @@ def set_ids(where: np.ndarray, shingle: np.ndarray, n: int) -> tuple[np.ndarray,
 def entries(where: np.ndarray, shingle: np.ndarray, size: np.ndarray, p: Params) -> Iterator[tuple[np.ndarray, ...]]:
     """Index entries of many sets: (text, key, unit, lower, slack), once for their own band and once as probers of the band below.
 
-    unit: -1 a segment, 0.. a segment with deletions, `deletable`.. its deletions. slack: units beyond the need; below 0 they don't suffice.
+    unit: -1 a segment, 0.. a segment with deletions, SMALL.. its deletions. slack: units beyond the need; below 0 they don't suffice.
     """
     lows = p.bands()
     for lower in (False, True):
@@ -118,22 +137,22 @@ def entries(where: np.ndarray, shingle: np.ndarray, size: np.ndarray, p: Params)
         total, count = np.add.reduceat(e, at), np.diff(np.append(at, len(w)))
         seg, text = segment[at].astype(np.int64), w[at]
         place = seg.astype(U) * U(0xD1342543DE82EF95) + (band[text].astype(U) + U(1)) * U(0xAF251AF3B0F025B5)
-        special = seg < p.deletable
+        special = seg < np.where(m[text] == SMALL, SMALL, p.deletable)
         units = np.bincount(text, minlength=len(size)) + np.bincount(text[special & (count >= 2)], minlength=len(size))
         slack = units - (p.differ(size + np.minimum(size, high)) + 1)
         yield text.astype(np.int32), mix(total + place), np.where(special, seg, -1).astype(np.int8), np.full(len(text), lower), slack[text].astype(np.int32)
         run = np.repeat(np.arange(len(at)), count)
         gone = np.flatnonzero((special & (count >= 2))[run])
         run = run[gone]
-        yield text[run].astype(np.int32), mix(total[run] - e[gone] + place[run]), (seg[run] + p.deletable).astype(np.int8), np.full(len(gone), lower), slack[text[run]].astype(np.int32)
+        yield text[run].astype(np.int32), mix(total[run] - e[gone] + place[run]), (seg[run] + SMALL).astype(np.int8), np.full(len(gone), lower), slack[text[run]].astype(np.int32)
 
 
 #: A text of a block: its set, size, and the slack of its units in its own band and as a prober of the band below.
 _TEXT = np.dtype([("set", "<i8"), ("size", "<i4"), ("slack", "<i2", 2)])
 
 
-def _pack(size: np.ndarray, ids: np.ndarray, where: np.ndarray, shingle: np.ndarray, p: Params, partitions: int) -> Iterator[tuple[int, bytes]]:
-    """(partition, texts and entries) of one block of texts; equal sets of the block count once.
+def _pack(size: np.ndarray, ids: np.ndarray, where: np.ndarray, shingle: np.ndarray, p: Params, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, texts and entries) of one block of texts; equal sets of the block count once.
 
     Entries are held column by column: the upper 48 bits of the key, the text's number in the block, unit and band. That the
     lower bits are gone only adds candidates, which verification drops.
@@ -153,14 +172,25 @@ def _pack(size: np.ndarray, ids: np.ndarray, where: np.ndarray, shingle: np.ndar
         of = lower == bool(band)
         texts["slack"][text[of], band] = np.clip(slack[of], -1, 32000)
     bad = np.flatnonzero((texts["slack"] < 0).any(1) & keep)  # sets short of units, told to one partition, without entries
-    for k, row in zip((texts["set"][bad] % partitions).tolist(), bad):
+    for k, row in zip((texts["set"][bad] % buckets).tolist(), bad):
         yield k, struct.pack("<ii", 1, 0) + texts[row : row + 1].tobytes()
-    part = (key % U(partitions)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(partitions + 1))
     tag = (unit + 1).astype(np.uint8) * np.uint8(2) + lower
+    key &= U(0xFFFFFFFFFFFF0000)
+    home = ((key >> U(16)) % U(buckets)).astype(np.int32)
+    part = home.copy()
+    order = np.argsort(key, kind="stable")
+    at = _starts(key[order])
+    count = np.diff(np.append(at, len(key)))
+    hot = order[np.repeat(count >= p.heavy, count)]
+    if len(hot):
+        part[hot] = (mix(key[hot] + texts["set"][text[hot]].view(U)) % U(buckets)).astype(np.int32)
+        tag[hot] |= SALTED
+        told = order[at[count >= p.heavy]]  # one entry of each goes home
+        text, key, tag, part = (np.concatenate(x) for x in ((text, text[told]), (key, key[told]), (tag, tag[told]), (part, home[told])))
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(buckets + 1))
     high = key.view(np.uint8).reshape(-1, 8)[:, 2:]  # little-endian: the upper six bytes
-    for k in range(partitions):
+    for k in np.unique(part).tolist():
         some = order[cuts[k] : cuts[k + 1]]
         some = some[np.argsort(text[some], kind="stable")]
         for at in _runs(text[some]):
@@ -169,6 +199,10 @@ def _pack(size: np.ndarray, ids: np.ndarray, where: np.ndarray, shingle: np.ndar
             yield k, struct.pack("<ii", len(own), len(rows)) + texts[own].tobytes() + local.astype("<u2").tobytes() + tag[rows].tobytes() + high[rows].tobytes()
 
 
+#: The bit of a tag that says that the key's other members may be in other buckets.
+SALTED = np.uint8(128)
+
+
 def _runs(text: np.ndarray) -> Iterator[slice]:
     """Parts of ascending text numbers with at most 2^16 different ones, which 16 bits can number."""
     if not len(text):
@@ -203,8 +237,8 @@ def _short(blobs: list[bytes]) -> pa.RecordBatch:
     lists = lambda x, kind: pa.ListArray.from_arrays(one, pa.array(x, kind))
     none = np.zeros(len(texts), np.int8)
     return pa.RecordBatch.from_arrays(
-        [pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(texts["set"]), lists(texts["set"], pa.int64()), lists(texts["size"], pa.int32()), lists(none, pa.int8()), lists(none.astype(bool), pa.bool_()), lists(none, pa.int16())],
-        names=["gid", "times", "hub", "sets", "sizes", "units", "lowers", "slacks"],
+        [pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(none.astype(bool)), pa.array(texts["set"]), lists(texts["set"], pa.int64()), lists(texts["size"], pa.int32()), lists(none, pa.int8()), lists(none.astype(bool), pa.bool_()), lists(none, pa.int16())],
+        names=["gid", "times", "salted", "hub", "sets", "sizes", "units", "lowers", "slacks"],
     )
 
 
@@ -214,50 +248,56 @@ def _groups(blobs: list[bytes]) -> pa.RecordBatch | None:
     order = np.argsort(key, kind="stable")
     at = _starts(key[order])
     count = np.diff(np.append(at, len(key)))
-    order = order[np.repeat(count > 1, count)]
+    salted = np.maximum.reduceat(tag[order] & SALTED, at) > 0
+    order = order[np.repeat((count > 1) | salted, count)]
     if not len(order):
         return None
-    key, sets, sizes, tag, slack = key[order], sets[order], sizes[order], tag[order].astype(np.int64), slack[order]
+    key, sets, sizes, tag, slack = key[order], sets[order], sizes[order], tag[order], slack[order]
+    salted = np.repeat(salted[(count > 1) | salted], count[(count > 1) | salted])
+    tag = (tag & ~SALTED).astype(np.int64)
     order = np.lexsort((tag, sets, key))
     key, sets, sizes, tag, slack = key[order], sets[order], sizes[order], tag[order], slack[order]
     new = np.ones(len(key), bool)  # equal sets came from several blocks
     new[1:] = (key[1:] != key[:-1]) | (sets[1:] != sets[:-1]) | (tag[1:] != tag[:-1])
-    key, sets, sizes, tag, slack = (x[new] for x in (key, sets, sizes, tag, slack))
+    key, sets, sizes, tag, slack, salted = (x[new] for x in (key, sets, sizes, tag, slack, salted))
     at = _starts(key)
     count = np.diff(np.append(at, len(key)))
     differ = np.ones(len(key), bool)
     differ[1:] = sets[1:] != sets[:-1]
     differ[at] = False  # beside the first set of the group
     shared = np.add.reduceat(differ.astype(np.int64), at) > 0
-    held = np.repeat(shared, count)
-    key, sets, sizes, tag, slack = (x[held] for x in (key, sets, sizes, tag, slack))
+    held = np.repeat(shared, count) | salted
+    key, sets, sizes, tag, slack, salted = (x[held] for x in (key, sets, sizes, tag, slack, salted))
     if not len(key):
         return None
     at = _starts(key)
     count = np.diff(np.append(at, len(key)))
     member = mix(sets.view(U) + tag.astype(U) * U(0xBEA225F9EB34556D))
     sign = np.add.reduceat(member, at) + count.astype(U)
-    plain = np.maximum.reduceat(tag, at) <= 1
+    plain = (np.maximum.reduceat(tag, at) <= 1) & ~salted[at]
     sign = np.where(plain, mix(sign), key[at])
     _, first, times = np.unique(sign, return_index=True, return_counts=True)
     size = count[first]
     take = np.repeat(at[first] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     pieces = [(i, a, min(a + CHUNK, b)) for i, (a, b) in enumerate(zip(np.cumsum(size) - size, np.cumsum(size))) for a in range(a, b, CHUNK)]
     which = np.array([i for i, _, _ in pieces])
+    part = salted[at][first][which]
     offsets = np.array([a for _, a, _ in pieces] + [len(take)], np.int32)
     lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[take], kind))
     hub = np.minimum.reduceat(sets[take], np.cumsum(size) - size)
     return pa.RecordBatch.from_arrays(
-        [pa.array(mix(sign[first] + U(1)).view(np.int64)[which]), pa.array(times[which], pa.int32()), pa.array(hub[which]), lists(sets, pa.int64()), lists(sizes, pa.int32()), lists((tag >> 1) - 1, pa.int8()), lists((tag & 1).astype(bool), pa.bool_()), lists(slack, pa.int16())],
-        names=["gid", "times", "hub", "sets", "sizes", "units", "lowers", "slacks"],
+        [pa.array(mix(sign[first] + U(1)).view(np.int64)[which]), pa.array(times[which], pa.int32()), pa.array(part), pa.array(hub[which]), lists(sets, pa.int64()), lists(sizes, pa.int32()), lists((tag >> 1) - 1, pa.int8()), lists((tag & 1).astype(bool), pa.bool_()), lists(slack, pa.int16())],
+        names=["gid", "times", "salted", "hub", "sets", "sizes", "units", "lowers", "slacks"],
     )
 
 
-GROUP = "gid long, times int, hub long, sets array<long>, sizes array<int>, units array<tinyint>, lowers array<boolean>, slacks array<smallint>"
+GROUP = "gid long, times int, salted boolean, hub long, sets array<long>, sizes array<int>, units array<tinyint>, lowers array<boolean>, slacks array<smallint>"
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, text and key, a hash of both that tells rows apart whatever the ids are."""
+    both = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return both.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
 
 
 def _each_block(batches: Iterator[pa.RecordBatch], p: Params):
@@ -268,66 +308,63 @@ def _each_block(batches: Iterator[pa.RecordBatch], p: Params):
             yield batch, where, shingle, *set_ids(where, shingle, batch.num_rows)
 
 
+def _blobs(where: np.ndarray, shingle: np.ndarray, n: int) -> list[bytes]:
+    cuts = np.searchsorted(where, np.arange(n + 1))
+    return [shingle[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def document_sets(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, n_shingles, set_id, cells) of every row of (doc_id, text). cells: how many shingles fall in each of CELLS parts, 255 for more."""
+    """(doc_id, key, n_shingles, set_id, cells) of every row of `_texts`. cells: how many shingles fall in each of CELLS parts, 255 for more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, where, shingle, size, ids in _each_block(batches, p):
             cell = where * CELLS + (shingle & U(CELLS - 1)).astype(np.int64)
             count = np.minimum(np.bincount(cell, minlength=len(size) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(ids), pa.array([r.tobytes() for r in count], pa.binary())], names=["doc_id", "n_shingles", "set_id", "cells"])
+            made = [pa.array(size), pa.array(ids), pa.array([r.tobytes() for r in count], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *made], names=["doc_id", "key", "n_shingles", "set_id", "cells"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, cells binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n_shingles long, set_id long, cells binary")
 
 
-def possible(pairs: DataFrame, sets: DataFrame, light: DataFrame, p: Params) -> DataFrame:
-    """Those of the pairs (a, b) that may be linked by their cells: two sets share no more of a cell than either has there.
+def shared_keys(docs: DataFrame, p: Params = Params(), shingles: int = 0) -> DataFrame:
+    """The groups of sets that share an index key, and the sets short of units (schema GROUP, times 0).
 
-    It lets no linked pair go, and most others before their texts are read.
+    shingles: of all texts together; it sets the number of buckets, of which a task holds one at a time.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = ids.join(sets.select("set_id", "doc_id"), "set_id")
-    cells = light.select(F.col("doc_id").alias("doc"), F.col("set_id").alias("of"), "n_shingles", "cells")
-    cells = materialise(wanted.join(cells, (F.col("doc_id") == F.col("doc")) & (F.col("set_id") == F.col("of"))).select("set_id", "n_shingles", "cells"))
-    rows = pairs.join(cells, F.col("b") == F.col("set_id")).select("a", "b", F.col("n_shingles").alias("n_b"), F.col("cells").alias("cells_b"))
-    rows = rows.join(cells, F.col("a") == F.col("set_id")).select("a", "b", F.col("n_shingles").alias("n_a"), "n_b", F.col("cells").alias("cells_a"), "cells_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (textscan.utf8(batch.column(c))[0].reshape(-1, CELLS).astype(np.int32) for c in ("cells_a", "cells_b"))
-            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            both = np.minimum(x, y).sum(1)
-            keep = ((x == 255) & (y == 255)).any(1) | (100 * both >= p.percent * (n - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-    return materialise(rows.mapInArrow(run, "a long, b long").distinct())
-
-
-def shared_keys(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The groups of sets that share an index key, and the sets short of units (schema GROUP, times 0)."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, -(-shingles // p.bucket))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, where, shingle, size, ids in _each_block(batches, p):
-            rows = list(_pack(size, ids, where, shingle, p, partitions))
+            rows = list(_pack(size, ids, where, shingle, p, buckets))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["part", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["bucket", "blob"])
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [blob for batch in batches for blob in batch.column("blob").to_pylist()]
+    def found(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         full, short = ([b for b in blobs if (struct.unpack_from("<ii", b)[1] > 0) == kind] for kind in (True, False))
         if short:
             yield _short(short)
-        found = _groups(full) if full else None
-        if found is not None:
-            for a in range(0, found.num_rows, 4096):
-                yield found.slice(a, 4096)
+        groups = _groups(full) if full else None
+        if groups is not None:
+            for a in range(0, groups.num_rows, 4096):
+                yield groups.slice(a, 4096)
 
-    return docs.mapInArrow(index, "part int, blob binary").repartitionById(partitions, F.col("part")).mapInArrow(gather, GROUP)
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, blobs = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+                if bucket != held:
+                    yield from found(blobs)
+                    held, blobs = bucket, []
+                blobs.append(blob)
+        yield from found(blobs)
+
+    dealt = docs.mapInArrow(index, "bucket int, blob binary").repartitionById(partitions, F.col("bucket") % partitions)
+    return dealt.sortWithinPartitions("bucket").mapInArrow(gather, GROUP)
 
 
 def _bits(values: DataFrame) -> bytes:
-    """A bitmap of the longs in the column x, 16 bits for each and 2^30 at most, so it may go to every task.
+    """A bitmap of the longs in the column x, 16 bits for each and 2^28 at most, so it may go to every task.
 
     A value stands at its last bits after `mix`; where the bitmap fills up it only lets more pass.
     """
@@ -337,7 +374,7 @@ def _bits(values: DataFrame) -> bytes:
             x = batch.column("x").to_numpy(zero_copy_only=False).view(U)
             yield pa.RecordBatch.from_arrays([pa.array((mix(x) & U((1 << power) - 1)).astype(np.int64) + 1)], names=["s"])
 
-    power = min(30, max(16, (16 * values.count()).bit_length()))
+    power = min(28, max(16, (16 * values.count()).bit_length()))
     rows = values.mapInArrow(spots, "s long").groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
     out = bytearray(1 << (power - 3))
     for r in rows:
@@ -356,30 +393,60 @@ def bits_of(bitmap: bytes):
     return has
 
 
-def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Those of the pairs (a, b) of set ids that are linked. sets: (set_id, doc_id) with one text for each set.
+def _sets_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+
 
-    The texts are read again; a bitmap of the ids wanted, a few bytes for each, lets the rest go before it is cut into shingles.
+def possible(pairs: DataFrame, sets: DataFrame, light: DataFrame, p: Params) -> DataFrame:
+    """Those of the pairs (a, b) that may be linked by their cells: two sets share no more of a cell than either has there.
+
+    It lets no linked pair go, and most others before their texts are read. sets: (set_id, key), one row of docs for each set.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = materialise(ids.join(sets, "set_id").select("set_id", "doc_id"))
-    shipped = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select(F.col("doc_id").alias("x"))))
+    wanted = _sets_of(pairs).join(sets.select("set_id", "key"), "set_id")
+    cells = light.select(F.col("key").alias("of"), "n_shingles", "cells")
+    cells = materialise(wanted.join(cells, F.col("key") == F.col("of")).dropDuplicates(["set_id"]).select("set_id", "n_shingles", "cells"))
+    rows = pairs.join(cells, F.col("b") == F.col("set_id")).select("a", "b", F.col("n_shingles").alias("n_b"), F.col("cells").alias("cells_b"))
+    rows = rows.join(cells, F.col("a") == F.col("set_id")).select("a", "b", F.col("n_shingles").alias("n_a"), "n_b", F.col("cells").alias("cells_a"), "cells_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (textscan.utf8(batch.column(c))[0].reshape(-1, CELLS).astype(np.int32) for c in ("cells_a", "cells_b"))
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            both = np.minimum(x, y).sum(1)
+            keep = ((x == 255) & (y == 255)).any(1) | (100 * both >= p.percent * (n - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    return materialise(rows.mapInArrow(run, "a long, b long").distinct())
+
+
+def read_sets(docs: DataFrame, wanted: DataFrame, p: Params = Params()) -> DataFrame:
+    """(set_id, blob): the ascending shingles of the wanted sets, one row each. wanted: (set_id, key), one row of docs for each set.
+
+    The texts are read again; a bitmap of the keys, a few bytes for each, lets the rest go before it is cut into shingles.
+    """
+    wanted = materialise(wanted)
+    shipped = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select(F.col("key").alias("x"))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has = bits_of(shipped.value)
 
         def passed() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(has(batch.column("doc_id").to_numpy(zero_copy_only=False).view(U))))
+                yield batch.filter(pa.array(has(batch.column("key").to_numpy().view(U))))
 
         for batch, where, shingle, _, ids in _each_block(passed(), p):
-            cuts = np.searchsorted(where, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([shingle[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["made", "blob"])
+            one = np.unique(ids, return_index=True)[1]  # rows alike in id and text have one key
+            blobs = _blobs(where, shingle, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[one]), pa.array([blobs[i] for i in one], pa.binary())], names=["set_id", "blob"])
+
+    made = docs.select("text", "key").mapInArrow(cut, "set_id long, blob binary")
+    return made.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("blob").alias("blob"))
+
 
-    # Both joins read one exchange of the sets. The few other sets that the bitmap lets pass meet no pair.
-    made = docs.filter("doc_id is not null").mapInArrow(cut, "made long, blob binary")
-    rows = pairs.join(made, F.col("b") == F.col("made")).select("a", "b", F.col("blob").alias("blob_b"))
-    rows = rows.join(made, F.col("a") == F.col("made")).select("a", "b", F.col("blob").alias("blob_a"), "blob_b")
+def verify(pairs: DataFrame, made: DataFrame, p: Params = Params()) -> DataFrame:
+    """Those of the pairs (a, b) of set ids that are linked. made: the sets' shingles, by `read_sets`."""
+    rows = pairs.join(made, F.col("b") == F.col("set_id")).select("a", "b", F.col("blob").alias("blob_b"))
+    rows = rows.join(made, F.col("a") == F.col("set_id")).select("a", "b", F.col("blob").alias("blob_a"), "blob_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,111 +457,216 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, p: Params = Param
                 linked.append(100 * both >= p.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return rows.mapInArrow(check, "a long, b long").distinct()
+    return settle(rows.mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _fits(a: str, b: str, p: Params) -> str:
+    return f"100 * least({a}, {b}) >= {p.percent} * greatest({a}, {b})"
+
+
 def _members(groups: DataFrame) -> DataFrame:
     zipped = F.explode(F.arrays_zip("sets", "sizes", "units", "lowers", "slacks")).alias("z")
-    return groups.select("gid", "times", "hub", zipped).select("gid", "times", "hub", F.col("z.sets").alias("set_id"), F.col("z.sizes").alias("size"), F.col("z.units").alias("unit"), F.col("z.lowers").alias("lower"), F.col("z.slacks").alias("slack"))
+    head = ["gid", "times", "salted", "hub"]
+    return groups.select(*head, zipped).select(*head, F.col("z.sets").alias("set_id"), F.col("z.sizes").alias("size"), F.col("z.units").alias("unit"), F.col("z.lowers").alias("lower"), F.col("z.slacks").alias("slack"))
+
+
+def to_hubs(groups: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Pairs of each set and the least set of its group, for near copies, which share many keys; pairs that share few are left to the second round."""
+    salted = groups.filter("salted").groupBy("gid").agg(F.min("hub").alias("least"))
+    members = _members(groups).join(salted, "gid", "left").withColumn("hub", F.coalesce("least", "hub"))
+    star = members.filter("set_id != hub").groupBy("hub", "set_id").agg(F.max("size").alias("size"), F.sum("times").alias("shared")).filter("20 * shared >= size")
+    star = star.join(sets.select(F.col("set_id").alias("hub"), F.col("size").alias("other")), "hub").filter(_fits("size", "other", p))
+    return materialise(star.select(*_ordered("hub", "set_id")).distinct())
 
 
 def probes(members: DataFrame, labels: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """The members of groups with several labels, and those of them that still probe their group, by cost-based allocation."""
+    """The members of groups with several labels, and those of them that still probe their group, by cost-based allocation.
+
+    width: how many members the group has.
+    """
     named = members.join(labels.select(F.col("u").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     several = materialise(named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("gid"))
-    # A plain group comes in one row from each index partition that holds keys of it: its keys are those of all of them.
-    whole = named.join(several, "gid").groupBy("gid", "set_id", "size", "unit", "lower", "label").agg(F.sum("times").alias("times"), F.min("slack").alias("slack"))
-    left = materialise(whole)
-    per = materialise(left.groupBy("gid", "label").agg(F.sum(F.when(F.col("lower"), 0).otherwise(1)).alias("here")))
-    everywhere = per.groupBy("gid").agg(F.sum("here").alias("all"))
-    cost = left.join(per.join(everywhere, "gid"), ["gid", "label"]).withColumn("cost", F.col("all") - F.col("here"))
+    # A plain group comes in one row from each bucket that holds keys of it: its keys are those of all of them. A salted key is one key.
+    times = F.when(F.max("salted"), F.max("times")).otherwise(F.sum("times")).alias("times")
+    left = materialise(named.join(several, "gid").groupBy("gid", "set_id", "size", "unit", "lower", "label").agg(times, F.min("slack").alias("slack")))
+    per = materialise(left.groupBy("gid", "label").agg(F.sum(F.when(F.col("lower"), 0).otherwise(1)).alias("here"), F.count(F.lit(1)).alias("rows")))
+    everywhere = per.groupBy("gid").agg(F.sum("here").alias("all"), F.sum("rows").alias("width"))
+    cost = left.join(per.join(everywhere, "gid").drop("rows"), ["gid", "label"]).withColumn("cost", F.col("all") - F.col("here"))
     # One row for each unit of a set: a plain group of keys, a segment, or the deletions of a segment (which need the segment too).
     unit = F.when(F.col("unit") < 0, F.col("gid")).otherwise(F.col("unit").cast("long"))
     units = cost.groupBy("set_id", "lower", "unit", unit.alias("name")).agg(F.sum("cost").alias("cost"), F.max("times").alias("count"), F.min("slack").alias("slack"))
-    segment = F.when(F.col("unit") < 0, F.lit(None)).otherwise(F.col("unit") % p.deletable)
+    segment = F.when(F.col("unit") < 0, F.lit(None)).otherwise(F.col("unit") % SMALL)
     own = Window.partitionBy("set_id", "lower", "segment")
     units = units.withColumn("segment", segment)
-    exact = F.max(F.when(F.col("unit") < p.deletable, F.col("cost"))).over(own)
-    units = units.withColumn("cost", F.when(F.col("unit") >= p.deletable, F.col("cost") + F.coalesce(exact, F.lit(0))).otherwise(F.col("cost")))
+    exact = F.max(F.when(F.col("unit") < SMALL, F.col("cost"))).over(own)
+    units = units.withColumn("cost", F.when(F.col("unit") >= SMALL, F.col("cost") + F.coalesce(exact, F.lit(0))).otherwise(F.col("cost")))
     dearest = Window.partitionBy("set_id", "lower").orderBy(F.desc("cost"), F.desc("unit"), "name").rowsBetween(Window.unboundedPreceding, 0)
     chosen = units.withColumn("so_far", F.sum("count").over(dearest)).filter("so_far > slack and cost > 0").select("set_id", "lower", "unit", "name")
-    return left, left.withColumn("name", unit).join(chosen, ["set_id", "lower", "unit", "name"]).select("gid", "set_id", "size", "label", "lower")
+    probing = left.withColumn("name", unit).join(chosen, ["set_id", "lower", "unit", "name"]).join(everywhere.select("gid", "width"), "gid")
+    return left, materialise(probing.select("gid", "set_id", "size", "label", "lower", "width"))
+
+
+def in_narrow(left: DataFrame, probing: DataFrame, p: Params) -> DataFrame:
+    """The pairs of different labels in the groups of few members, as many as a constant allows each member."""
+    index = left.filter("not lower").select(F.col("gid").alias("__gid"), F.col("set_id").alias("other_id"), F.col("size").alias("other"), F.col("label").alias("other_label"))
+    some = probing.filter(F.col("width") <= p.wide)
+    meet = some.join(index, F.expr("gid = __gid and label != other_label and other <= size and " + _fits("size", "other", p)))
+    return meet.select(*_ordered("set_id", "other_id")).distinct()
+
+
+def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("u", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+
+
+def postings(made: DataFrame, p: Params) -> DataFrame:
+    """(x, set_id, size, reach): where each set has a shingle x that others of `made` have too, rarest first, and the largest partner that this place allows."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, blob in zip(batch.column("set_id").to_pylist(), batch.column("blob")):
+                x = np.frombuffer(blob.as_buffer(), np.int64)
+                for a in range(0, len(x), CHUNK):
+                    n = len(x[a : a + CHUNK])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + CHUNK]), pa.array(np.full(n, key)), pa.array(np.full(n, len(x)))], names=["x", "set_id", "size"])
+
+    rows = made.mapInArrow(spread, "x long, set_id long, size long")
+    often = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    of_set = Window.partitionBy("set_id")
+    place = F.col("size") - F.count(F.lit(1)).over(of_set) + F.row_number().over(of_set.orderBy("n", "x")) - 1
+    placed = rows.join(often, "x").withColumn("place", place).withColumn("reach", F.expr(f"({100 + p.percent} * (size - place)) div {p.percent} - size"))
+    return materialise(placed.filter(f"100 * reach >= {p.percent} * size").select("x", "set_id", "size", "reach"))
+
+
+def _still_open(named: DataFrame) -> DataFrame:
+    """Those postings (x, set_id, size, reach, label) that a member of another label allows."""
+    several = lambda df: df.join(df.groupBy("x").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("x"), "x")
+    named = materialise(several(named))
+    bounds = named.groupBy("x").agg(F.min("size").alias("least"), F.min_by("label", "size").alias("least_of"), F.max("reach").alias("most"), F.max_by("label", "reach").alias("most_of"))
+    named = named.join(bounds, "x")
+    others = named.groupBy("x").agg(F.min(F.when(F.col("label") != F.col("least_of"), F.col("size"))).alias("least2"), F.max(F.when(F.col("label") != F.col("most_of"), F.col("reach"))).alias("most2"))
+    allowed = "reach >= if(label = least_of, least2, least) and size <= if(label = most_of, most2, most)"
+    kept = materialise(named.join(others, "x").filter(allowed).select("x", "set_id", "size", "reach", "label"))
+    return materialise(several(kept))
+
+
+def in_wide(made: DataFrame, links: DataFrame, p: Params) -> DataFrame:
+    """Links between the sets of `made` that join what the links so far leave apart; hub rounds first, then every pair that is left."""
+    places = postings(made, p)
+    allow = "l.size <= r.reach and r.size <= l.reach and l.label != r.label and " + _fits("l.size", "r.size", p)
+    pair = [F.least("l.set_id", "r.set_id").alias("a"), F.greatest("l.set_id", "r.set_id").alias("b")]
+    seen = found = None
+    for step in range(ROUNDS + 1):
+        rows = _still_open(_with_labels(places, components(links)))
+        of_each = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.expr("cast(n as decimal(20, 0)) * (n - 1) / 2"))).first()
+        if not of_each[0]:
+            break
+        last = step == ROUNDS or of_each[1] <= p.wide * of_each[0]
+        if not last:
+            hubs = rows.groupBy("x").agg(F.max_by("set_id", F.col("reach") / F.col("size")).alias("set_id"))
+            hubs = hubs.join(rows, ["x", "set_id"])
+            pairs = rows.alias("l").join(hubs.alias("r"), F.expr("l.x = r.x and " + allow)).select(*pair).distinct()
+            pairs = materialise(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+            new = verify(pairs, made, p)
+            seen = pairs if seen is None else materialise(seen.union(pairs))
+        if last or new.isEmpty():
+            pairs = rows.alias("l").join(rows.alias("r"), F.expr("l.x = r.x and l.set_id < r.set_id and " + allow)).select(*pair).distinct()
+            new = verify(materialise(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")), made, p)
+            found = new if found is None else found.union(new)
+            break
+        found = new if found is None else found.union(new)
+        links = links.union(new)
+    return found if found is not None else links.limit(0)
 
 
 def join(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id and set_id.
+    """One row per row of docs: doc_id, n_shingles, component_id, set_id, key (a hash of id and text) and component (a number of its own; null without shingles).
 
     component_id is the least id of the documents reachable by links. A text without words (or null) has no shingles, is linked with
     nothing and is its own component; equal sets are linked. A null id takes part in links but is never a component's name
-    unless the component has no other.
+    unless the component has no other. Ids may be of any type that has an order, and may repeat.
     """
     docs = _texts(docs, id_col, text_col)
     light = materialise(document_sets(docs, p))
     full = light.filter("n_shingles > 0")
-    sets = materialise(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")))
-    groups = materialise(shared_keys(docs, p))
-    members = _members(groups.filter("times > 0"))
-    fits = F.expr(f"100 * least(size, other) >= {p.percent} * greatest(size, other)")
-    of = sets.select(F.col("set_id").alias("hub"), F.col("n_shingles").alias("other"))
-    # The first round is for near copies, which share many keys with their hub; pairs that share few are left to the second.
-    star = members.filter("set_id != hub").groupBy("hub", "set_id").agg(F.max("size").alias("size"), F.sum("times").alias("shared")).filter("20 * shared >= size")
-    star = star.join(of, "hub").filter(fits)
-    first = possible(materialise(star.select(*_ordered("hub", "set_id")).distinct()), sets, light, p)
-    linked = materialise(verify(docs, sets, first, p))
-    labels = components(linked, rounds=2)
-    left, probing = probes(members, labels, p)
-    index = left.filter("not lower").select("gid", F.col("set_id").alias("other_id"), F.col("size").alias("other"), F.col("label").alias("other_label"))
-    meet = probing.join(index, (probing.gid == index.gid) & (probing.label != index.other_label) & (index.other <= probing["size"]) & fits)
-    second = materialise(meet.select(*_ordered("set_id", "other_id")).distinct().join(first, ["a", "b"], "left_anti"))
-    second = possible(second, sets, light, p)
-    links = linked.union(verify(docs, sets, second, p))
-    short = groups.filter("times = 0").select(F.col("hub").alias("set_id"), F.col("sizes")[0].cast("long").alias("size")).distinct()
-    if not short.isEmpty():
-        links = links.union(by_shingle(docs, short, p))
-    final = components(links)
-    named = sets.join(final.withColumnRenamed("u", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("label", "set_id").alias("label"))
-    named = materialise(named)
+    sets = materialise(full.groupBy("set_id").agg(F.min("key").alias("key"), F.max("n_shingles").alias("size")))
+    shingles = light.agg(F.sum("n_shingles")).first()[0] or 0
+    groups = materialise(shared_keys(docs, p, shingles))
+    keyed = groups.filter("times > 0")
+    first = possible(to_hubs(keyed, sets, p), sets, light, p)
+    links = verify(first, read_sets(docs, _sets_of(first).join(sets.select("set_id", "key"), "set_id"), p), p)
+    left, probing = probes(_members(keyed), components(links), p)
+    near = possible(materialise(in_narrow(left, probing, p).join(first, ["a", "b"], "left_anti")), sets, light, p)
+    wide = left.join(probing.filter(F.col("width") > p.wide).select("gid").distinct(), "gid").select("set_id").distinct()
+    short = groups.filter("times = 0").select(F.col("hub").alias("set_id")).distinct()
+    wanted = materialise(wide.select("set_id", F.lit(1).alias("kind")).union(short.select("set_id", F.lit(2))).union(_sets_of(near).select("set_id", F.lit(0))))
+    made = materialise(read_sets(docs, wanted.select("set_id").distinct().join(sets.select("set_id", "key"), "set_id"), p))
+    links = links.union(verify(near, made, p))
+    of_kind = lambda kind: made.join(wanted.filter(F.col("kind") == kind), "set_id", "left_semi")
+    links = links.union(in_wide(materialise(of_kind(1)), links, p)).union(against_all(docs, of_kind(2), p))
+    named = materialise(_with_labels(sets.select("set_id", "key"), components(links)))
+    ids = full.select(F.col("set_id").alias("of"), "doc_id").groupBy("of").agg(F.min("doc_id").alias("doc_id"))
+    named = materialise(named.join(ids, F.col("set_id") == F.col("of"), "left").select("set_id", "label", "doc_id"))
     least = materialise(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    of_set = materialise(named.join(least, "label").select(F.col("set_id").alias("__set"), "component_id"))
+    of_set = materialise(named.join(least, "label").select(F.col("set_id").alias("__set"), "component_id", F.col("label").alias("component")))
     out = light.join(of_set, (F.col("set_id") == F.col("__set")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "set_id")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "set_id", "key", "component")
 
 
-def by_shingle(docs: DataFrame, short: DataFrame, p: Params) -> DataFrame:
-    """Linked pairs of the sets in `short` with sets that are not larger, by counting the shingles they share.
+def one_of_each(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each component: that with the least id (a null id is the last), of several the one with the least key.
 
-    Two bitmaps of bounded size, of the short sets' ids and of their shingles, go to every task, so hardly any other shingles are shuffled.
+    Texts without words stay all. Of rows alike in id and text any one stays.
+    """
+    name = "__key"
+    while name in docs.columns:
+        name += "_"
+    found = join(docs, p, id_col, text_col).filter("component is not null")
+    found = materialise(found.select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("row")))
+    first = found.groupBy(F.col("component").alias("of")).agg(F.min("row").alias("first"))
+    goes = materialise(found.join(first, F.col("component") == F.col("of")).filter(~F.col("row").eqNullSafe(F.col("first"))).select(F.col("row.key").alias("__goes")))
+    twice = materialise(found.groupBy(F.col("row.key").alias("__twice")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__twice"))
+    rows = docs.withColumn(name, F.xxhash64(f"`{id_col}`", f"`{text_col}`"))
+    rows = rows.join(goes, F.col(name) == F.col("__goes"), "left_anti")
+    if not twice.isEmpty():
+        again = F.col(name) == F.col("__twice")
+        rows = rows.join(twice, again, "left_anti").union(rows.join(twice, again, "left_semi").dropDuplicates([name]))
+    return rows.drop(name)
+
+
+def against_all(docs: DataFrame, made: DataFrame, p: Params) -> DataFrame:
+    """The links of the sets in `made` (set_id, blob) with any others, by counting the shingles they share with each text.
+
+    The sets, few as they are, go to every task in blocks of AT_ONCE shingles (16 MB); each block is one pass over the texts.
     """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = bits_of(ids.value)
-        for _, where, shingle, size, sets in _each_block(batches, p):
-            use = mine(sets.view(U))[where]
-            yield from _cells(sets, size, where[use], shingle[use])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = bits_of(shingles.value)
-        for _, where, shingle, size, sets in _each_block(batches, p):
-            use = wanted(shingle) & (size <= most)[where] & (100 * size >= p.percent * least)[where]
-            yield from _cells(sets, size, where[use], shingle[use])
-
     context = docs.sparkSession.sparkContext
-    least, most = short.agg(F.min("size"), F.max("size")).first()
-    ids = context.broadcast(_bits(short.select(F.col("set_id").alias("x"))))
-    cells = "other_id long, other long, shingle long"
-    own = docs.mapInArrow(cut, cells).join(short.select(F.col("set_id").alias("other_id")), "other_id", "left_semi").distinct()
-    own = materialise(own.select(F.col("other_id").alias("set_id"), F.col("other").alias("size"), "shingle"))
-    shingles = context.broadcast(_bits(own.select(F.col("shingle").alias("x"))))
-    both = own.join(docs.mapInArrow(meet, cells).distinct(), "shingle").filter(f"set_id != other_id and other <= size and 100 * other >= {p.percent} * size")
-    count = both.groupBy("set_id", "other_id", "size", "other").agg(F.count(F.lit(1)).alias("n"))
-    return count.filter(f"100 * n >= {p.percent} * (size + other - n)").select(*_ordered("set_id", "other_id")).distinct()
-
-
-def _cells(sets: np.ndarray, size: np.ndarray, where: np.ndarray, shingle: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(where), 1 << 16):
-        w = where[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(sets[w]), pa.array(size[w]), pa.array(shingle[a : a + (1 << 16)].view(np.int64))], names=["other_id", "other", "shingle"])
+    made = materialise(made.withColumn("n", F.octet_length("blob") / 8))
+    total = made.agg(F.sum("n")).first()[0] or 0
+    blocks, out = int(-(-total // AT_ONCE)), docs.sparkSession.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for block in range(blocks):
+        rows = made.filter(F.pmod(F.xxhash64("set_id"), F.lit(blocks)) == block).select("set_id", "blob").collect()
+        if not rows:
+            continue
+        names, sizes = np.array([r.set_id for r in rows], np.int64), np.array([len(r.blob) // 8 for r in rows], np.int64)
+        x, of = np.concatenate([np.frombuffer(bytes(r.blob), U) for r in rows]), np.repeat(np.arange(len(rows)), sizes)
+        order = np.argsort(x, kind="stable")
+        shipped = context.broadcast((names, sizes, x[order], of[order]))
+
+        def meet(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            names, sizes, x, of = shipped.value
+            for _, where, shingle, size, sets in _each_block(batches, p):
+                low, high = np.searchsorted(x, shingle), np.searchsorted(x, shingle, "right")
+                hit = np.flatnonzero(high > low)
+                times = (high - low)[hit]
+                take = np.repeat(low[hit] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                pair, both = np.unique(np.repeat(where[hit], times) * len(names) + of[take], return_counts=True)
+                text, mine = pair // max(1, len(names)), pair % max(1, len(names))
+                ok = (100 * both >= p.percent * (size[text] + sizes[mine] - both)) & (sets[text] != names[mine])
+                a, b = sets[text[ok]], names[mine[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        out = out.union(settle(docs.select("text").mapInArrow(meet, "a long, b long").distinct(), "links"))
+    return out

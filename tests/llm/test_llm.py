@@ -350,20 +350,89 @@ def test_join_edges(spark, edges, nothing):
     assert ngram_join.join(nothing).count() == 0
 
 
-def test_short_sets_by_shingle(spark):
+def test_short_sets_against_all(spark):
     """The way for sets whose units do not suffice gives the same links."""
     texts = {k: " ".join(f"w{(k // 4) * 7 + i}" for i in range(8 + k % 2)) for k in range(40)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     p = ngram_join.Params()
+    docs = ngram_join._texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text")
     light = ngram_join.document_sets(docs, p)
-    pairs = ngram_join.by_shingle(docs, light.select("set_id", F.col("n_shingles").alias("size")).distinct(), p).collect()
+    made = ngram_join.read_sets(docs, light.groupBy("set_id").agg(F.min("key").alias("key")), p)
     of = {}
     for r in light.collect():
         of.setdefault(r.set_id, shingles(texts[r.doc_id]))
+    assert {r.set_id: len(r.blob) // 8 for r in made.collect()} == {k: len(v) for k, v in of.items()}
+    pairs = ngram_join.against_all(docs, made, p).collect()
     want = {tuple(sorted((a, b))) for a in of for b in of if a != b and 100 * len(of[a] & of[b]) >= 75 * len(of[a] | of[b])}
     assert {(r.a, r.b) for r in pairs} == want and want
 
 
+def near_copies(r, n, size, most, rare):
+    """n copies of one text of `size` words with up to `most` words changed, for new words or, if not `rare`, for one of a few."""
+    out = []
+    for k in range(n):
+        w = [f"b{i}" for i in range(size)]
+        for at in r.sample(range(size), r.randint(0, most)):
+            w[at] = f"e{k}_{at}" if rare else f"v{r.randint(0, 2)}_{at}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("rare", [True, False])
+def test_join_wide_groups(spark, rare):
+    """A group of near copies of which some are linked and others just not, dealt over buckets as heavy keys or not."""
+    texts = dict(enumerate(near_copies(random.Random(7), 400, 90, 9, rare)))
+    for p in (ngram_join.Params(), ngram_join.Params(heavy=3, bucket=2000), ngram_join.Params(wide=0), ngram_join.Params(wide=10**6)):
+        check_join(spark, texts, p)
+
+
+def test_join_of_20000_near_copies(spark):
+    """One star of copies of one text, and chains off it: brute force by the distance to the base would not do, so every link is compared through an index."""
+    r, base = random.Random(9), [f"b{i}" for i in range(100)]
+    rows = []
+    for k in range(20_000):
+        w = list(base)
+        for at in r.sample(range(0, 100, 7), r.randint(0, 5)):
+            w[at] = f"e{k}_{at}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x.doc_id: x.component_id for x in ngram_join.join(docs).collect()}
+    sets = {k: shingles(t) for k, t in rows}
+    whole = shingles(" ".join(base))
+    # Words changed are each a copy's own, so two copies share what both have of the base: at most the smaller rest. Only copies near the base can be linked.
+    rest = {k: len(s & whole) for k, s in sets.items()}
+    near = {k for k in sets if 100 * rest[k] >= 75 * (len(sets[k]) + len(whole) - rest[k])}
+    for k in sets:
+        if k in near:
+            assert got[k] == min(near)
+        else:
+            linked = [o for o in near if 175 * min(rest[k], rest[o]) >= 75 * (len(sets[k]) + len(sets[o])) and 100 * len(sets[k] & sets[o]) >= 75 * len(sets[k] | sets[o])]
+            assert (got[k] == min(near)) == bool(linked)
+
+
+def test_join_ids(spark):
+    """Near copies without an id, with one id, and with ids that are text."""
+    a, b, c = near_copies(random.Random(1), 3, 60, 1, True)
+    other = " ".join(f"o{i}" for i in range(30))
+    rows = [(1, a), (None, b), (None, b), (7, other), (7, c), (None, other + " x")]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x.doc_id, x.component_id) for x in got) == Counter([(1, 1), (None, 1), (None, 1), (7, 7), (7, 1), (None, 7)])
+    named = ngram_join.join(spark.createDataFrame([(f"id{i}", t) for i, (_, t) in enumerate(rows)], "doc_id string, text string")).collect()
+    assert {x.doc_id: x.component_id for x in named} == {"id0": "id0", "id1": "id0", "id2": "id0", "id3": "id3", "id4": "id0", "id5": "id3"}
+    both = ngram_join.join(spark.createDataFrame([(None, a), (None, b)], "doc_id long, text string")).collect()
+    assert len({x.component for x in both}) == 1 and {x.component_id for x in both} == {None}
+
+
+def test_one_of_each(spark, edges, nothing):
+    a, b, c = near_copies(random.Random(1), 3, 60, 1, True)
+    other = " ".join(f"o{i}" for i in range(30))
+    rows = [(1, a, 0), (None, b, 0), (7, other, 0), (7, c, 0), (7, other, 0), (None, other + " x", 0), (8, "", 0), (8, None, 0), (None, c + " y z", 0)]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, __key int")).collect()
+    assert Counter(tuple(x) for x in kept) == Counter([rows[0], rows[2], rows[6], rows[7]])
+    left = ngram_join.one_of_each(edges)
+    assert left.columns == edges.columns and Counter(x.doc_id for x in left.collect()) == Counter([1, 2, 3, 4, 5, 7, 8, 9, 9, None, 10])
+    assert ngram_join.one_of_each(nothing).count() == 0
+
+
 def test_pigeonhole_units():
     """Every band has segments enough: linked sets share a probed key, whatever the sizes."""
     g, p = np.random.default_rng(0), ngram_join.Params()
@@ -376,12 +445,13 @@ def test_pigeonhole_units():
 
 def test_units_of_a_group_in_many_partitions(spark):
     """A group of plain keys is worth its keys in all index partitions, so the slack cannot leave it out as if it were one."""
-    rows = [(1, 1, 5, k, 200, -1, False, 20) for k in (10, 20) for _ in range(40)] + [(2, 1, 5, k, 200, -1, False, 20) for k in (10, 20)]
-    rows += [(key, 1, 5, 10, 200, 8, False, 20) for key in range(100, 130)] + [(key, 1, 5, 20, 200, 8, False, 20) for key in range(100, 130)]  # deletions: one unit
-    members = spark.createDataFrame(rows, "gid long, times int, hub long, set_id long, size int, unit int, lower boolean, slack int")
+    rows = [(1, 1, False, 5, k, 200, -1, False, 20) for k in (10, 20) for _ in range(40)] + [(2, 1, False, 5, k, 200, -1, False, 20) for k in (10, 20)]
+    rows += [(key, 1, False, 5, k, 200, 16, False, 20) for key in range(100, 130) for k in (10, 20)]  # deletions: one unit
+    rows += [(3, 1, True, 5, k, 200, -1, False, 20) for k in (10, 20) for _ in range(40)]  # a salted key, told in many buckets: one unit
+    members = spark.createDataFrame(rows, "gid long, times int, salted boolean, hub long, set_id long, size int, unit int, lower boolean, slack int")
     left, probing = ngram_join.probes(members, spark.createDataFrame([], "u long, label long"), ngram_join.Params())
-    assert sorted((r.gid, r.set_id) for r in probing.collect()) == [(1, 10), (1, 20), (2, 10), (2, 20)]
-    assert sorted((r.gid, r.set_id) for r in left.collect()) == sorted((g, k) for g in (1, 2, *range(100, 130)) for k in (10, 20))
+    assert sorted((r.gid, r.set_id) for r in probing.collect()) == [(1, 10), (1, 20), (2, 10), (2, 20), (3, 10), (3, 20)]
+    assert sorted((r.gid, r.set_id) for r in left.collect()) == sorted((g, k) for g in (1, 2, 3, *range(100, 130)) for k in (10, 20))
 
 
 def test_join_passage_families_over_many_partitions(spark):
