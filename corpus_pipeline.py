@@ -7,7 +7,6 @@ the columns of docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lontar.llm import ngram_join, packing, quality_classifier, quality_rules, secret_scan
 from lontar.llm.common import scratch, table
@@ -25,9 +24,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 75 % of their 5-word shingles the one with the least id stays; documents without an id stay."""
-    goes = ngram_join.join(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("__goes"))
-    return docs.join(goes, F.col("doc_id") == F.col("__goes"), "left_anti")
+    """Of each group of documents linked by 75 % of their 5-word shingles the one with the least id stays."""
+    return ngram_join.one_of_each(docs)
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
