@@ -38,6 +38,8 @@ LEVEL = 4
 #: A member is taken for a record if so many bytes of it decode to the start of a WARC header.
 PROBE = 1024
 DATE = "2026-01-01T00:00:00Z"
+#: A payload is hot with more than one in so many of all rows. The most tasks that read.
+HOT, MOST_TASKS = 1000, 50_000
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -67,8 +69,14 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("digest"))
     # Only digests that occur twice are needed beside the pages: partial counts first, so a hot payload costs a row a task.
-    twice = rows.filter(F.octet_length("text") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1").select(F.col("digest").alias("__digest"), "first")
-    marked = rows.join(twice, rows.digest == twice["__digest"], "left").drop("__digest")
+    twice = rows.filter(F.octet_length("text") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
+    twice = materialise(twice.select(F.col("digest").alias("__digest"), "first", "n"))
+    # Payloads with more than one in HOT of all rows are fewer than HOT, so they may be broadcast; their rows are dealt by id.
+    hot = F.col("n") * HOT > rows.count()
+    rows = rows.join(F.broadcast(twice.filter(hot).select(F.col("__digest").alias("__hot"), F.col("first").alias("__first"))), F.col("digest") == F.col("__hot"), "left")
+    dealt = F.when(F.col("__hot").isNull(), F.col("digest")).otherwise(F.concat("digest", F.lit(":"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    marked = rows.withColumn("__dealt", dealt).join(twice.filter(~hot).drop("n"), F.col("__dealt") == F.col("__digest"), "left")
+    marked = marked.select("id", "url", "text", "digest", F.coalesce("__first", "first").alias("first"))
     target, _ = _open(folder)
     target.create_dir(_open(folder)[1], recursive=True)
 
@@ -166,7 +174,8 @@ def read(spark: SparkSession, files: DataFrame, split: int = 4 << 20, keep_paylo
     A revisit holds no payload and counts as intact.
     """
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("low"), F.col("bytes")).filter("bytes > 0")
-    ranges = ranges.repartition(F.col("path"), F.col("low"))
+    number = files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
+    ranges = ranges.repartition(max(1, min(int(number), MOST_TASKS)))  # a number that is given is not coalesced: a task for each range
     wanted = [f.split()[0] for f in FIELDS.split(", ")] + ["payload"] * keep_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
