@@ -1,14 +1,15 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in SQL expressions only.
 
-A text is the set of its paragraphs' 64-bit digests (lines that are not empty). A sketch has
+A text is the set of its paragraphs' 64-bit digests: lines that are not empty, those of more than LONG characters cut after
+sentences. A sketch has
 three tables of `width` cells. Every digest is added to one cell of each table: the cell counts
 it and keeps the exclusive or of digests and of their checks. Sketches of two versions subtract
 cell by cell; what both hold cancels. Peeling takes cells that hold a single digest, removes it from its
 other cells, and goes on until nothing is left: the digests taken are the difference.
 
 If cells are left, the difference was too large for the sketch. It is retried larger: the
-digests are dealt into blocks (one for each BLOCK_LOAD digests of both versions), each with a sketch of its own, so work
-grows in proportion to the text and not to its square; a second retry has twice the blocks. Should that
+digests are dealt into blocks (one for each BLOCK_LOAD digests of both versions), each with a sketch of its own; both versions are
+sorted by block once, so work grows as a sort of the text's digests and not as their square; a second retry has twice the blocks. Should that
 fail too (it takes a chance of about one in millions), the digests themselves are compared.
 
 The fingerprint is the sketch of the first size as text, after the number of digests. Equal texts have equal ones.
@@ -19,10 +20,14 @@ empty sets are alike (1).
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Lines longer than this are cut after sentences: a text of one line would have one digest, and be unlike any edited version of it.
+LONG = 400
 WIDTH = 10
 RETRY_WIDTH = 12
 BLOCK_LOAD = 14
@@ -34,22 +39,25 @@ DOCS_PER_CELL, MOST_CELLS = 1024, 65536
 def digests(text: str) -> Column:
     """Distinct paragraphs of a text column: their digest d, check c, and one hash h that places them."""
     lines = f"filter(split(coalesce(`{text}`, ''), '\\n', -1), p -> p != '')"
-    return F.expr(f"transform(array_distinct(transform({lines}, p -> xxhash64(p))), d -> named_struct('d', d, 'c', cast(xxhash64(d, 7L) & 4294967295L as long), 'h', xxhash64(d, 13L)))")
+    lines = f"flatten(transform({lines}, p -> if(length(p) > {LONG}, split(p, '(?<=[.!?]) '), array(p))))"
+    entry = f"named_struct('d', d, 'c', cast(xxhash64(d, 7L) & 4294967295L as long), 'h', h, 'm', {_mask('h', WIDTH)}, 'r', {_mask('h', RETRY_WIDTH)})"
+    return F.expr(f"transform(array_distinct(transform({lines}, p -> xxhash64(p))), d -> transform(array(xxhash64(d, 13L)), h -> {entry})[0])")
 
 
-def _place(h: str, table: str, width: int) -> str:
-    """The cell of a digest in a table: other bits of h for each table."""
-    return f"((shiftrightunsigned({h}, 16 * ({table})) & 65535L) % {width})"
+def _mask(h: str, width: int) -> str:
+    """A bit for each of a digest's cells, one in each table: other bits of h for each."""
+    place = lambda table: f"cast((shiftrightunsigned({h}, {16 * table}) & 65535L) % {width} as int) + {table * width}"
+    return "(" + " | ".join(f"shiftleft(1L, {place(table)})" for table in range(3)) + ")"
 
 
-def _sketch(entries: str, width: int) -> str:
-    return f"""transform(sequence(0, {3 * width - 1}), s -> aggregate(filter({entries}, e -> {_place('e.h', f's div {width}', width)} = s % {width}),
-        named_struct('n', 0, 'k', 0L, 'c', 0L), (a, e) -> named_struct('n', a.n + 1, 'k', a.k ^ e.d, 'c', a.c ^ e.c)))"""
+def _sketch(entries: str, width: int, mask: str, sign: str = "1") -> str:
+    return f"""transform(sequence(0, {3 * width - 1}), s -> transform(array(shiftleft(1L, s)), bit -> aggregate(filter({entries}, e -> (e.{mask} & bit) != 0L),
+        named_struct('n', 0, 'k', 0L, 'c', 0L), (a, e) -> named_struct('n', a.n + {sign}, 'k', a.k ^ e.d, 'c', a.c ^ e.c)))[0])"""
 
 
-def sketch(entries: str, width: int = WIDTH) -> Column:
+def sketch(entries: str) -> Column:
     """Cells (n, k, c) of an array column that `digests` made."""
-    return F.expr(_sketch(f"`{entries}`", width))
+    return F.expr(_sketch(f"`{entries}`", WIDTH, "m"))
 
 
 def _minus(a: str, b: str) -> str:
@@ -58,12 +66,13 @@ def _minus(a: str, b: str) -> str:
 
 def _peel(cells: str, width: int) -> str:
     """struct(cells, found, live): found has the digests d with the sign s, 1 for the first version's."""
-    check, home = "cast(xxhash64(x.k, 7L) & 4294967295L as long)", _place("xxhash64(p.d, 13L)", f"j div {width}", width)
-    pure = f"array_distinct(transform(filter(st.cells, x -> abs(x.n) = 1 and x.c = {check}), x -> named_struct('d', x.k, 's', x.n)))"
-    less = f"""transform(st2.cells, (x, j) -> aggregate(filter(pure, p -> {home} = j % {width}), x,
-        (a, p) -> named_struct('n', a.n - p.s, 'k', a.k ^ p.d, 'c', a.c ^ cast(xxhash64(p.d, 7L) & 4294967295L as long))))"""
+    check = "cast(xxhash64(x.k, 7L) & 4294967295L as long)"
+    entry = f"transform(array(xxhash64(x.k, 13L)), h -> named_struct('d', x.k, 's', x.n, 'c', x.c, 'm', {_mask('h', width)}))[0]"
+    pure = f"array_distinct(transform(filter(st.cells, x -> abs(x.n) = 1 and x.c = {check}), x -> {entry}))"
+    less = """transform(st2.cells, (x, j) -> transform(array(shiftleft(1L, j)), bit -> aggregate(filter(pure, p -> (p.m & bit) != 0L), x,
+        (a, p) -> named_struct('n', a.n - p.s, 'k', a.k ^ p.d, 'c', a.c ^ p.c)))[0])"""
     step = f"""aggregate(array({pure}), st, (st2, pure) -> if(size(pure) = 0, named_struct('cells', st2.cells, 'found', st2.found, 'live', false),
-        named_struct('cells', {less}, 'found', concat(st2.found, pure), 'live', true)))"""
+        named_struct('cells', {less}, 'found', concat(st2.found, transform(pure, p -> named_struct('d', p.d, 's', p.s))), 'live', true)))"""
     start = f"named_struct('cells', {cells}, 'found', cast(array() as array<struct<d:bigint,s:int>>), 'live', true)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (st, r) -> if(st.live, {step}, st))"
 
@@ -72,11 +81,14 @@ _EMPTY = "forall({0}.cells, x -> x.n = 0 and x.k = 0)"
 
 
 def _retry(a: str, b: str, level: int) -> str:
-    """One difference, or null if a block keeps cells."""
-    blocks = f"cast(ceil((size({a}) + size({b})) * {level} / {BLOCK_LOAD}) as int)"
-    part = lambda e: f"filter({e}, e -> pmod(shiftrightunsigned(e.h, 48) + e.c, {blocks}) = blk)"
-    peeled = _peel(_minus(_sketch(part(a), RETRY_WIDTH), _sketch(part(b), RETRY_WIDTH)), RETRY_WIDTH)
-    done = f"transform(sequence(0, greatest({blocks}, 1) - 1), blk -> {peeled})"
+    """One difference, or null if a block keeps cells. Both versions are sorted by block once, and each block is a slice of that."""
+    blocks = f"greatest(1L, cast(ceil((size({a}) + size({b})) * {level} / {BLOCK_LOAD}) as bigint))"
+    signed = lambda e, sign: f"transform({e}, e -> named_struct('blk', pmod(shiftrightunsigned(e.h, 48) + e.c, blocks), 'd', e.d, 'c', e.c, 'r', e.r, 's', {sign}))"
+    both = f"sort_array(flatten(transform(array({blocks}), blocks -> concat({signed(a, 1)}, {signed(b, -1)}))))"
+    starts = "filter(sequence(0, size(srt) - 1), i -> i = 0 or srt[i].blk != srt[i - 1].blk)"
+    cells = f"transform(array(slice(srt, st + 1, coalesce(get(sts, j + 1), size(srt)) - st)), part -> {_sketch('part', RETRY_WIDTH, 'r', 'e.s')})[0]"
+    each = f"transform(array({starts}), sts -> transform(sts, (st, j) -> {_peel(cells, RETRY_WIDTH)}))[0]"
+    done = f"transform(array({both}), srt -> if(size(srt) = 0, array(), {each}))[0]"
     return f"transform(array({done}), all -> if(forall(all, z -> {_EMPTY.format('z')}), flatten(transform(all, z -> z.found)), null))[0]"
 
 
@@ -99,28 +111,51 @@ def as_text(entries: str, cells: str) -> Column:
     return F.expr(f"concat(cast(size(`{entries}`) as string), ':', array_join(transform(`{cells}`, x -> concat(hex(x.n), '.', hex(x.k), '.', hex(x.c))), ';'))")
 
 
+def _borders(rows: DataFrame) -> tuple[list[int], list[int], int]:
+    """Ids that cut the rows into ranges of about DOCS_PER_CELL, how many ranges start at each, and into how many the rows without an id are cut.
+
+    The ids are quantiles, so neither outliers nor gaps matter; an id that a range's worth of rows repeat comes as often as it fills ranges.
+    """
+    n, none = rows.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    cells = min(MOST_CELLS, (n - none) // DOCS_PER_CELL)
+    found = rows.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], max(10_000, 4 * cells))).first()[0] if cells > 1 else []
+    times = Counter(found)
+    return sorted(times), [times[x] for x in sorted(times)], max(1, min(MOST_CELLS, none // DOCS_PER_CELL))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, next_text): the text of the next row in descending order of id, after the last the first's.
 
-    Rows of equal id are ordered by text, null ids come last. Ids are cut into ranges of equal width; a range is
-    one window, and its first row gets its neighbour from a copy of the last row of the range before, so each text is shuffled once
-    and the ids need not be without gaps. The table of those rows is bounded by MOST_CELLS and so may be broadcast.
+    Rows of equal id are ordered by a hash of the text, then the text; null ids come last. Ids are cut into ranges of about equal counts
+    (one id that many rows have, and null, by the hash); a range is one window, and its first row gets its neighbour from a copy of the last row of the range
+    before, so each text is shuffled once and the ids need not be without gaps. The table of those rows is bounded by 2 * MOST_CELLS and so may be broadcast.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    cells = max(1, min(MOST_CELLS, n // DOCS_PER_CELL))
-    width = max(1, -(-(high - low + 1) // cells))
-    key = F.coalesce(F.col("doc_id"), F.lit(low - 1))
-    rows = rows.withColumn("__key", key).withColumn("__cell", F.when(F.col("doc_id").isNull(), 0).otherwise(F.expr(f"(doc_id - {low}L) div {width}L")).cast("int"))
+    cuts, times, none = _borders(rows.select("doc_id"))
+    rows = rows.withColumn("__h", F.xxhash64("text")).withColumn("__u", F.expr("shiftrightunsigned(__h, 33)"))
+    array = lambda xs: F.expr(f"cast(split('{','.join(map(str, xs))}', ',') as array<bigint>)")  # noqa: E731  folded into one literal
+    if cuts:
+        rows = rows.withColumns({"__cuts": array(cuts), "__times": array(times)})
+        steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+        place = F.expr(f"aggregate(array({', '.join(map(str, steps))}), 0, (at, step) -> if(coalesce(get(__cuts, at + step - 1) <= doc_id, false), at + step, at))")
+        rows = rows.withColumn("__at", place)  # how many borders are not above the id
+        many, here = F.expr("get(__times, __at - 1)"), F.expr("doc_id = get(__cuts, __at - 1)")
+        within = F.when(here, F.expr("(__u * get(__times, __at - 1)) >> 31")).otherwise(F.coalesce(many - 1, F.lit(0)))
+        rows = rows.withColumn("__in", within).drop("__cuts", "__times")
+    else:
+        rows = rows.withColumn("__at", F.lit(0)).withColumn("__in", F.lit(0).cast("long"))
+    null = F.col("doc_id").isNull()
+    rows = rows.withColumn("__cell", F.struct(F.when(null, -1).otherwise(F.col("__at")).cast("int").alias("at"), F.when(null, F.expr(f"(__u * {none}) >> 31")).otherwise(F.col("__in")).cast("long").alias("within"))).drop("__at", "__in")
+    # The greatest row of each range: null ids first, then ids, then hashes.
+    last = rows.groupBy("__cell").agg(F.max(F.struct("doc_id", "__u", "__h")).alias("__last"))
     order = Window.orderBy("__cell")
-    last = rows.groupBy("__cell").agg(F.max("__key").alias("__last"))
-    borders = last.select(F.col("__last"), F.coalesce(F.lead("__cell").over(order), F.min("__cell").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__to"))
-    both = rows.join(F.broadcast(borders), F.col("__key") == F.col("__last"), "left").drop("__last")
+    borders = last.select(F.col("__cell").alias("__of"), F.col("__last"), F.coalesce(F.lead("__cell").over(order), F.min("__cell").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__to"))
+    ends = (F.col("__cell") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__last.doc_id")) & (F.col("__h") == F.col("__last.__h"))
+    both = rows.join(F.broadcast(borders), ends, "left")
     own = F.struct(F.col("__cell").alias("cell"), F.lit(True).alias("own"))
     copy = F.struct(F.col("__to").alias("cell"), F.lit(False).alias("own"))
-    dealt = both.withColumn("__as", F.explode(F.when(F.col("__to").isNull(), F.array(own)).otherwise(F.array(own, copy)))).select("doc_id", "text", "__key", F.col("__as.cell").alias("__cell"), F.col("__as.own").alias("__own"))
-    line = Window.partitionBy("__cell").orderBy("__own", "__key", "text")
+    dealt = both.withColumn("__as", F.explode(F.when(F.col("__to").isNull(), F.array(own)).otherwise(F.array(own, copy)))).select("doc_id", "text", "__u", "__h", F.col("__as.cell").alias("__cell"), F.col("__as.own").alias("__own"))
+    line = Window.partitionBy("__cell").orderBy("__own", F.asc_nulls_first("doc_id"), "__u", "__h", "text")
     return dealt.withColumn("next_text", F.lag("text").over(line)).filter("__own").select("doc_id", "text", "next_text")
 
 
