@@ -1,17 +1,17 @@
 """Secret scans: a character convolutional network over every candidate and its context.
 
-Three base patterns (kinds `assign`, `access`, `hex`) find spans that always stay. Further
-candidates are all runs of 16 or more characters of the token alphabet that mix letters and
-digits; the network reads each of them with the characters around it, and those above its
-threshold are added as kind `token`, unless they overlap a base span. A run longer than INNER is read by its head
+Three base patterns (kinds `assign`, `access`, `hex`) find spans that always stay. Candidates are these spans and all runs
+of the token alphabet of 10 or more characters with a letter and a digit, or of 20 or more of any. The network reads each of them with the
+characters around it. Runs above its threshold that reach beyond the base spans are added as kind `token`; base spans
+above it are counted as confirmed. A candidate longer than INNER is read by its head
 and tail and by overlapping windows over all of it; its highest score counts, and the whole run is the span.
 
 The network is numpy only: embedded characters, one convolution, ReLU, the maximum and mean over places,
 a logistic unit. It is trained on labelled findings: `labelled` makes them from a seed, secrets
 of many shapes against the harmless strings that look like them (versions, paths, dates, e-mail and web
-addresses, long words, identifiers), each in a context of its own. A part is held out; on it the
-scores are calibrated (a slope and an offset) and the threshold is the most precise one that keeps
-`least_recall`.
+addresses, long words, identifiers), each in a context of its own. Two further parts are kept from the fit: on one the
+scores are calibrated (a slope and an offset), on the other the threshold is set, the highest that keeps
+`least_recall`; a network whose precision there is below `least_precision` is refused.
 
 Null text is an empty text and has no spans. Spans are in code points, the end exclusive.
 """
@@ -37,7 +37,8 @@ KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{10,}")
+_LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 _QUICK = re.compile(r"(?ai)pass|secret|token|api")
 
 INNER, OUTER = 48, 16
@@ -57,13 +58,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans that the network is to judge."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-            out.append(m.span())
-    return out
+    """Runs that the network is to judge."""
+    return [m.span() for m in CANDIDATE.finditer(text) if m.end() - m.start() >= 20 or (_DIGIT.search(text, *m.span()) and _LETTER.search(text, *m.span()))]
 
 
 def _alphabet() -> np.ndarray:
@@ -137,6 +133,10 @@ def labelled(seed: int, n: int) -> list[tuple[str, int, int, int]]:
         lambda: "AKIA" + chars(string.ascii_uppercase + digits, 16),
         lambda: "eyJ" + chars(letters + digits + "_-", r.randint(30, 90)),
         lambda: chars(letters + digits + "_-", r.randint(22, 48)),
+        lambda: chars(letters + digits, r.randint(12, 20)),
+        lambda: chars(letters, r.randint(24, 48)),
+        lambda: chars(string.ascii_uppercase + "234567", r.choice([16, 24, 26, 32, 52])),
+        lambda: chars(string.ascii_lowercase + digits, r.randint(16, 40)),
     ]
     plain = [
         lambda: "-".join(word() for _ in range(r.randint(3, 6))) + "-" + chars(digits, r.randint(1, 4)),
@@ -150,20 +150,31 @@ def labelled(seed: int, n: int) -> list[tuple[str, int, int, int]]:
         lambda: "ISBN" + "-".join(chars(digits, k) for k in (3, 1, 4, 4, 1)),
         lambda: word(2).upper() + "-" + chars(digits, 4) + "-" + chars(digits, 6) + "-" + word(2).upper(),
         lambda: chars(digits, r.randint(12, 16)) + r.choice(["px", "th", "km", "EUR", "USD"]) + "-" + word(),
+        lambda: word(4) + word(4) + word(4) + chars(digits, r.randint(1, 4)),
+        lambda: "-".join(word(4) for _ in range(r.randint(3, 6))),
+        lambda: "_".join(word(4) for _ in range(r.randint(3, 6))).upper() + r.choice(["", "_1", "_64"]),
+        lambda: "".join(word(5) for _ in range(r.randint(4, 7))),
+        lambda: "".join(word(3).capitalize() for _ in range(r.randint(4, 7))),
+        lambda: "/".join(word().upper() if r.random() < 0.2 else word() for _ in range(r.randint(3, 7))),
+        lambda: r.choice("=-_") * r.randint(20, 60),
+        lambda: word(3).capitalize() + "-" + chars(digits, r.randint(2, 6)) + r.choice(["", "a", "-" + word(2)]),
+        lambda: chars(digits, 4) + "-" + chars(digits, 2) + "-" + chars(digits, 2) + r.choice(["T", "_"]) + chars(digits, 4) + r.choice(["", "Z", "h"]),
+        lambda: word(2).upper() + chars(digits, r.randint(5, 9)),
     ]
     out = []
     for _ in range(n):
         good = r.random() < 0.5
         body = r.choice(secret if good else plain)()
-        body = body if len(body) >= 16 else body + chars(letters + digits, 20) if good else body + "_" + word(6) + word(6) + word(6)
-        lead = r.choice(["", "key: ", "auth=", "Bearer ", "id ", '"', "= '", "see ", "(", ": "]) if good else r.choice(["", "see ", "file ", "id ", '"', "(", "at ", "page ", "the "])
+        body = body if len(body) >= 10 else body + chars(letters + digits, 20) if good else body + "_" + word(6) + word(6) + word(6)
+        telling, neutral = ["key: ", "auth=", "Bearer ", "= '", ": ", '"'], ["", "", "see ", "file ", "id ", "(", "at ", "page ", "the ", '"', "\n"]
+        lead = r.choice(telling if r.random() < (0.4 if good else 0.2) else neutral)  # a context may tell, but not alone
         before, after = " ".join(word() for _ in range(4)) + " " + lead, r.choice([" ", ".", '"', ", ", "\n", ")"]) + " ".join(word() for _ in range(4))
         out.append((before + body + after, len(before), len(before) + len(body), int(good)))
     return out
 
 
-def train(findings: list[tuple[str, int, int, int]], held: list[tuple[str, int, int, int]], least_recall: float = 0.97, least_precision: float = 0.9, filters: int = 16, width: int = 6, steps: int = 300, batch: int = 128, seed: int = 7) -> CharCNN:
-    """Adam on the findings; calibration and threshold on the held-out ones."""
+def train(findings: list[tuple[str, int, int, int]], aside: list[tuple[str, int, int, int]], held: list[tuple[str, int, int, int]], least_recall: float = 0.97, least_precision: float = 0.9, filters: int = 24, width: int = 6, steps: int = 600, batch: int = 128, seed: int = 7) -> CharCNN:
+    """Adam on the findings, calibration on those set aside, the threshold on the held-out ones."""
     g = np.random.default_rng(seed)
     pack = lambda rows: (np.concatenate([windows(t, [(a, b)]) for t, a, b, _ in rows]), np.array([y for *_, y in rows], float))
     codes, y = pack(findings)
@@ -189,22 +200,25 @@ def train(findings: list[tuple[str, int, int, int]], held: list[tuple[str, int,
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             state[name] = m, v
             setattr(net, name, getattr(net, name) - 0.02 * (1 - 0.8 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8))
-    codes, y = pack(held)
+    codes, y = pack(aside)
     logit = net._forward(codes)[-1]
     a, b = 1.0, 0.0
     for _ in range(300):  # Platt's calibration
         p = 1 / (1 + np.exp(-np.clip(a * logit + b, -40, 40)))
         a, b = a - 0.05 * ((p - y) * logit).mean(), b - 0.2 * (p - y).mean()
     net.slope, net.shift = float(a), float(b)
+    codes, y = pack(held)
     p = net.probability(codes)
-    top = float(np.quantile(p[y == 1], 1 - least_recall))  # the highest threshold that keeps the recall
-    net.threshold = top
+    net.threshold = float(np.quantile(p[y == 1], 1 - least_recall))
+    precision = y[p >= net.threshold].mean()
+    if precision < least_precision:
+        raise ValueError(f"at recall {least_recall} the precision on held-out findings is {precision:.3f}, below {least_precision}")
     return net
 
 
 @lru_cache(maxsize=2)
-def default_network(seed: int = 11, n_train: int = 3000, n_held: int = 1500) -> CharCNN:
-    return train(labelled(seed, n_train), labelled(seed + 1, n_held))
+def default_network(seed: int = 11, n_train: int = 6000, n_aside: int = 1500, n_held: int = 2000) -> CharCNN:
+    return train(labelled(seed, n_train), labelled(seed + 1, n_aside), labelled(seed + 2, n_held))
 
 
 def views(a: int, b: int) -> list[tuple[int, int]]:
@@ -222,20 +236,44 @@ def scores(text: str, spans: list[tuple[int, int]], net: CharCNN) -> np.ndarray:
     return out
 
 
-def scan(text: str, net: CharCNN) -> list[tuple[int, int, int]]:
-    """All spans of one text: the base ones, and candidates that the network takes for secrets."""
+def _beyond(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Those of the ascending spans that have a character outside all base spans, by one sweep over both."""
+    merged: list[list[int]] = []
+    for a, _, b in base:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    out, i = [], 0
+    for a, b in spans:
+        while i < len(merged) and merged[i][1] < b:
+            i += 1
+        if i == len(merged) or a < merged[i][0]:
+            out.append((a, b))
+    return out
+
+
+def judged(text: str, net: CharCNN) -> tuple[list[tuple[int, int, int]], int]:
+    """All spans of one text, the base ones and runs that the network takes for secrets; and how many base spans it confirms."""
     base = base_spans(text)
-    rest = [(a, b) for a, b in candidates(text) if not any(s < b and a < e for s, _, e in base)]
-    if rest:
-        base = sorted(base + [(a, 3, b) for (a, b), x in zip(rest, scores(text, rest, net)) if x >= net.threshold])
-    return base
+    runs = _beyond(candidates(text), base)
+    if not base and not runs:
+        return [], 0
+    p = scores(text, [(a, b) for a, _, b in base] + runs, net) >= net.threshold
+    tokens = [(a, 3, b) for (a, b), x in zip(runs, p[len(base) :]) if x]
+    return (sorted(base + tokens) if tokens else base), int(p[: len(base)].sum())
+
+
+def scan(text: str, net: CharCNN) -> list[tuple[int, int, int]]:
+    """All spans of one text."""
+    return judged(text, net)[0]
 
 
 def named(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-MADE = "n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string"
+MADE = "n_assign long, n_access long, n_hex long, n_token long, n_confirmed long, base_sha256 string, spans string"
 
 
 def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, net: CharCNN | None = None) -> DataFrame:
@@ -250,11 +288,11 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
             for batch in textscan.pieces(whole, text_col):
                 rows = []
                 for text in batch.column(text_col).to_pylist():
-                    spans = scan(text or "", net)
-                    count = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
+                    spans, confirmed = judged(text or "", net)
+                    count = [*(sum(k == kind for _, k, _ in spans) for kind in range(4)), confirmed]
                     digest = hashlib.sha256(named([s for s in spans if s[1] < 3]).encode()).hexdigest()
                     rows.append((*count, digest, named(spans)))
-                made = [pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6)]
+                made = [pa.array([r[i] for r in rows], pa.int64() if i < 5 else pa.string()) for i in range(7)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *made], names=[*own, *names])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in own]).schema]
