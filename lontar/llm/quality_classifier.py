@@ -5,7 +5,7 @@ ordered thresholds cut it, P(grade <= k) = sigmoid(threshold_k - score). From th
 expected grade and the tail probability P(grade >= k) by which rows are selected.
 
 The model is fitted on a bounded sample of labelled rows (`most_labels`, those with the
-smallest md5 of their id), a part of which is held out. Grades between the poorest and the best (toxic text) are
+smallest md5 of their id, with at most `most_words` distinct words in all), a part of which is held out. Grades between the poorest and the best (toxic text) are
 rare and count `rare_weight` times in the fit. On the held-out rows the selection limit is set: as low as `keep_share` of the
 best grade asks, but higher where less than `rare_recall` of the grades between would go, while `least_share` of the best stays.
 Scoring is one narrow pass over every row.
@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lontar.llm import textscan
+from lontar.llm.common import materialise
 
 BITS = 18
 SHAPE = 10
@@ -116,8 +118,11 @@ def fit(where: np.ndarray, slot: np.ndarray, shape: np.ndarray, grade: np.ndarra
     return Ordinal(weights, x[w_end:s_end], centre, spread, x[s_end] + np.concatenate([[0.0], np.cumsum(np.exp(x[s_end + 1 :]))]))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, most: int) -> list[tuple]:
-    """The features of at most `most` labelled rows, collected to the driver."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, most: int, most_words: int) -> list[tuple]:
+    """The features of at most `most` labelled rows with at most `most_words` distinct words in all, collected to the driver.
+
+    Rows are taken in the order of their ids' md5; the one that would pass a bound and all after it are left out.
+    """
     one = labels.filter(F.col(id_col).isNotNull() & F.col(grade_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(F.col(grade_col)).cast("int").alias("__grade"))
     sample = one.orderBy(F.md5(F.col("__id").cast("string")), "__id").limit(most)  # its size is bounded: it may be broadcast
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
@@ -130,13 +135,21 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, gr
                 slots = [slot[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.string()), batch.column("__grade"), pa.array(slots, pa.binary()), pa.array([r.tobytes() for r in shape], pa.binary())], names=["id", "grade", "slots", "shape"])
 
-    got = rows.mapInArrow(run, "id string, grade int, slots binary, shape binary").collect()
+    # Ids may repeat in docs, and texts may be long: both bounds hold for what is collected.
+    light = materialise(rows.mapInArrow(run, "id string, grade int, slots binary, shape binary"))
+    key = F.struct(F.md5("id"), "id", F.xxhash64("slots"))
+    least = light.select(key.alias("at"), (F.octet_length("slots") / 4).cast("long").alias("n")).orderBy("at").limit(most)
+    so_far = least.withColumn("total", F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    last = so_far.filter(F.col("total") <= most_words).agg(F.max("at")).first()[0]
+    if last is None:
+        return []
+    got = light.filter(key <= F.struct(*[F.lit(x) for x in last])).orderBy(key).limit(most).collect()
     return sorted((r.id, r.grade, r.slots, r.shape) for r in got)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most_labels: int = 8000, hold_out: int = 4, keep_share: float = 0.995, rare_weight: float = 3.0, rare_recall: float = 0.75, least_share: float = 0.98) -> Ordinal | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most_labels: int = 8000, most_words: int = 1 << 24, hold_out: int = 4, keep_share: float = 0.995, rare_weight: float = 3.0, rare_recall: float = 0.75, least_share: float = 0.98) -> Ordinal | None:
     """Fit on labelled rows; each `hold_out`-th of them sets the limit on P(best grade)."""
-    rows = _labelled(docs, labels, id_col, text_col, grade_col, most_labels)
+    rows = _labelled(docs, labels, id_col, text_col, grade_col, most_labels, most_words)
     grade = np.array([r[1] for r in rows], np.int64)
     if len(np.unique(grade)) < 2:
         return None

@@ -219,7 +219,7 @@ def test_bpe_column(spark, folder, edges, nothing):
 
 
 def lines(text):
-    return {p for p in text.split("\n") if p}
+    return {q for p in text.split("\n") if p for q in (re.split("(?<=[.!?]) ", p) if len(p) > 400 else [p])}
 
 
 def jaccard(a, b):
@@ -251,6 +251,52 @@ def test_peeling_recovers_the_difference(spark, common, left, right):
     assert {x.d for x in r.d if x.s == 1} == set(r.a) - set(r.b) and {x.d for x in r.d if x.s == -1} == set(r.b) - set(r.a) and len(r.d) == left + right
 
 
+def check_edits(docs, rows):
+    """Against plain sets; rows without an id come last, equal ids in any order."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    got = defaultdict(list)
+    for r in fingerprints.edits(docs).collect():
+        got[r.doc_id].append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for i, (key, text) in enumerate(order):
+        if len(got[key]) == 1 and len(got.get(order[(i + 1) % len(order)][0])) == 1:
+            after, n = order[(i + 1) % len(order)][1], len(text)
+            assert got[key][0].edited_sha256 == hashlib.sha256((text[: n - n // 3] + after[: n // 3]).encode()).hexdigest(), key
+
+
+@pytest.mark.parametrize("most", [3, 65536])
+def test_fingerprint_ids(spark, monkeypatch, most):
+    """Ids over the whole long range, an outlier, and one id and null for many rows: ranges go by counts."""
+    monkeypatch.setattr(fingerprints, "DOCS_PER_CELL", 8)
+    monkeypatch.setattr(fingerprints, "MOST_CELLS", most)
+    rows = [(i, f"text {i}\nof its own") for i in [-(2**63), 2**63 - 1, -9 * 10**18, 9 * 10**18, *range(150)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_edits(docs, rows)
+    more = rows + [(70, f"again {i}\nx") for i in range(60)] + [(None, f"none {i}\ny") for i in range(60)]
+    docs = spark.createDataFrame(more, "doc_id long, text string")
+    check_edits(docs, more)
+    nexts = fingerprints.with_next(docs).collect()
+    assert Counter(r.text for r in nexts) == Counter(r.next_text for r in nexts)  # each text is the next of one row
+    follow = {r.text: r.next_text for r in nexts}
+    at, seen = rows[1][1], set()
+    while at not in seen:  # one circle
+        seen.add(at)
+        at = follow[at]
+    assert len(seen) == len(more)
+    if most > 3:
+        cuts, times, none = fingerprints._borders(docs.select("doc_id"))
+        assert len(cuts) > 10 and max(times) > 4 and none > 4
+        assert 70 in cuts
+
+
+def test_fingerprint_of_many_lines(spark):
+    a, b = ("\n".join(f"{k} line {i}" for i in range(20_000)) for k in "ab")
+    got = {r.doc_id: r for r in fingerprints.edits(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()}
+    edited = a[: len(a) - len(a) // 3] + b[: len(a) // 3]
+    assert got[1].near_edited == pytest.approx(jaccard(lines(a), lines(edited))) and got[1].near_next == 0.0
+    assert (got[1].n_removed, got[1].n_added) == (len(lines(a) - lines(edited)), len(lines(edited) - lines(a)))
+
+
 def test_fingerprint_edges(spark, edges, nothing):
     got = fingerprints.edits(edges).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in EDGES)
@@ -501,6 +547,67 @@ def test_secret_network():
     assert [text[a:b] for a, k, b in secret_scan.scan(text, net) if k == 3] == ["ghp_a8Kd93jfLq0ZxY2mN7bV4cR1tW6sE5uQ9oPi"]
 
 
+def own_findings():
+    """Findings that the training generator did not make: real-world formats of keys, and harmless strings in use, in contexts of their own."""
+    r, b62 = random.Random(41), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda chars, n: "".join(r.choices(chars, k=n))
+    secret = [f() for _ in range(25) for f in (
+        lambda: "sk-proj-" + some(b62, 48), lambda: "AIzaSy" + some(b62 + "_-", 33), lambda: "xoxp-" + some("0123456789", 12) + "-" + some("0123456789", 12) + "-" + some(b62, 24), lambda: "SK" + some("0123456789abcdef", 32),
+        lambda: "github_pat_" + some(b62, 22) + "_" + some(b62, 59), lambda: "eyJhbGciOiJIUzI1NiJ9" + some(b62, 30), lambda: some(b62, 32), lambda: some(b62 + "+/", 43) + "=", lambda: some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), lambda: some("0123456789ABCDEF", 40),
+    )]
+    words = "the of report minister annual energy policy water sensor driver kernel module index search filter manual version release update client server browser window network storage archive letter number question".split()
+    joined = lambda mark, low, high: mark.join(r.choices(words, k=r.randint(low, high)))
+    plain = [f() for _ in range(25) for f in (
+        lambda: joined("-", 4, 7), lambda: joined("_", 4, 6).upper() + "_2", lambda: "/" + joined("/", 4, 6) + "/v2", lambda: "".join(w.capitalize() for w in r.choices(words, k=4)) + "2Test", lambda: "ISO-8859-" + str(r.randint(1, 15)),
+        lambda: f"{r.randint(1990, 2030)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T10-22-33", lambda: joined("-", 3, 5) + f"-{r.randint(2000, 2030)}", lambda: "=" * r.randint(22, 60), lambda: "".join(r.choices(words, k=5)), lambda: f"RFC{r.randint(1000, 9999)}-section-{r.randint(1, 20)}",
+    )]
+    contexts = [("we found ", " in the log"), ('value="', '" />'), ("(", ")"), ("use ", ", then go on"), ("x\n", "\ny")]
+    out = []
+    for body, y in [(b, 1) for b in secret] + [(b, 0) for b in plain]:
+        before, after = r.choice(contexts)
+        out.append((before + body + after, len(before), len(before) + len(body), y))
+    return out
+
+
+def test_secret_network_on_other_findings():
+    """On shapes and contexts that are not the training generator's."""
+    net, found = secret_scan.default_network(), own_findings()
+    hit = np.array([bool([1 for a, k, b in secret_scan.scan(t, net) if k == 3 and a <= s + 12 and b >= e - 12]) for t, s, e, _ in found])
+    y = np.array([x[3] for x in found])
+    assert hit[y == 1].mean() >= 0.9 and y[hit].mean() >= 0.9, (hit[y == 1].mean(), y[hit].mean())
+
+
+def test_secret_precision_is_asked():
+    findings = secret_scan.labelled(3, 400)
+    mixed = [(t, a, b, i % 2) for i, (t, a, b, _) in enumerate(findings)]
+    with pytest.raises(ValueError, match="precision"):
+        secret_scan.train(findings, findings, mixed, steps=20)
+
+
+def test_secret_spans_overlap():
+    """Runs are dropped only where base spans hold all of them; a sweep over many spans takes a moment."""
+    base = [(10, 0, 20), (15, 2, 30), (50, 1, 60)]
+    assert secret_scan._beyond([(0, 5), (8, 20), (10, 30), (12, 25), (25, 31), (30, 40), (50, 60), (55, 70)], base) == [(0, 5), (8, 20), (25, 31), (30, 40), (55, 70)]
+    many = [(10 * i, 0, 10 * i + 9) for i in range(200_000)]
+    assert len(secret_scan._beyond([(a, b + i % 2) for i, (a, _, b) in enumerate(many)], many)) == 100_000
+
+
+def test_secret_columns_of_documents(spark, folder):
+    """Every document's base spans against plain patterns, and all spans in order, the added ones runs that reach beyond them."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = 0
+    for r in secret_scan.find(docs, keep=["doc_id", "text"]).collect():
+        text = r.text or ""
+        base = brute_base(text)
+        spans = [(int(a), ("assign", "access", "hex", "token").index(k), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert [x for x in spans if x[1] < 3] == base and spans == sorted(spans) and r.n_token == sum(k == 3 for _, k, _ in spans) and 0 <= r.n_confirmed <= len(base)
+        for a, k, b in spans:
+            if k == 3:
+                assert re.fullmatch("[A-Za-z0-9+/_=-]{10,}", text[a:b]) and any(not any(s <= i < e for s, _, e in base) for i in range(a, b))
+        clean += not base and bool(r.n_token)
+    assert clean <= 0.01 * docs.count()
+
+
 def test_secret_within_a_long_run():
     net, r = secret_scan.default_network(), random.Random(8)
     word = lambda: "".join(r.choices("an be co da en fi ge ho in jo ka lu me no or ti".split(), k=r.randint(1, 3)))
@@ -561,6 +668,23 @@ def test_warc_false_magic(tmp_path):
     assert len(list(warc.records_in(warc.Source(str(tmp_path / "f.gz")), 0, cut))) == 1 and len(list(warc.records_in(warc.Source(str(tmp_path / "f.gz")), cut, 10**6))) == 1
 
 
+def test_warc_is_read_by_a_task_for_each_range(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{k}"))) for k in range(40)]).alias("html"))
+    files = warc.write(pages.repartition(3), scratch(spark, "warc"))
+    ranges = sum(-(-r.bytes // 20_000) for r in files.collect())
+    read = warc.read(spark, files, split=20_000)
+    assert ranges > 10 and read.rdd.getNumPartitions() == ranges
+    tasks = read.select(F.spark_partition_id().alias("t"), "intact").groupBy("t").agg(F.min("intact").alias("ok"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(tasks) > ranges * 3 // 4 and all(r.ok for r in tasks) and sum(r.n for r in tasks) == 400
+
+
+def test_warc_hot_payload_and_clashing_columns(spark):
+    hot = "the same page " * 20
+    pages = spark.createDataFrame([(i if i else None, "u", hot if i % 3 else f"{i} " * 80, "d", 1) for i in range(90)] + [(500, None, None, None, None)], "page_id long, url string, html string, digest string, first int")
+    got = {r.page_id: r for r in warc.round_trip(spark, pages).collect()}
+    assert len(got) == 91 and got[1].record_type == "response" and all(got[i].refers_to == 1 for i in range(2, 90) if i % 3) and all(got[i].record_type == "response" for i in range(3, 90, 3)) and got[500].payload_bytes == 0
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -612,6 +736,36 @@ def good_prose():
     return " ".join(t for t, in rows).encode()
 
 
+def brute_verdict(raw):
+    """Base rules and compression bands, straight from their statement."""
+    import zstandard
+
+    n, *_, repeated = brute_rules(raw.decode())
+    ratio = lambda part: len(zstandard.ZstdCompressor(level=3).compress(part)) / len(part)
+    inside = lambda part: (lambda low, high: low <= ratio(part) <= high)(*next(x[1:] for x in quality_rules.Bands().limits if len(part) < x[0]))
+    if n < 50 or 100 * repeated > 50 * n:
+        return False
+    chunks = [(a, a + 4096) for a in range(0, len(raw) - 4095, 4096)] or [(0, len(raw))]
+    if chunks[-1][1] < len(raw):
+        chunks.append((len(raw) - 4096, len(raw)))
+    bad = {i for a, b in chunks if not inside(raw[a:b]) for i in range(a, b)}
+    return inside(raw) and len(bad) <= 0.02 * len(raw)
+
+
+def test_every_verdict(spark, folder, edges):
+    for docs in (spark.read.parquet(f"{folder}/documents.parquet"), edges):
+        for r in quality_rules.judge(docs, keep=["doc_id", "text"]).collect():
+            assert r.kept == brute_verdict((r.text or "").encode()), r.doc_id
+
+
+def test_good_documents_stay(spark):
+    """Of the documents that are labelled good, on tables that the limits were not read from as well."""
+    for folder in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        good = spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1").select("doc_id").distinct()
+        rows = quality_rules.judge(spark.read.parquet(f"{folder}/documents.parquet").join(good, "doc_id"), keep=["doc_id"]).filter("not base_failed").collect()
+        assert np.mean([r.kept for r in rows]) >= 0.99
+
+
 def in_band(data):
     bands = quality_rules.Bands()
     ratio, bad = quality_rules.compression(data, bands, __import__("zstandard").ZstdCompressor(level=bands.level))
@@ -681,6 +835,37 @@ def test_classifier_bounds_toxic_documents(spark):
     assert share[0] < 0.02 and share[1] < 0.5 and share[2] > 0.96, share
 
 
+def test_classifier_bounds_what_it_collects(spark):
+    docs = spark.createDataFrame([(i % 40, " ".join(f"w{i}_{k}" for k in range(50))) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3) for i in range(40)], "doc_id long, grade int")
+    got = lambda most, words: quality_classifier._labelled(docs, labels, "doc_id", "text", "grade", most, words)
+    size = lambda rows: sum(len(r[2]) // 4 for r in rows)
+    assert len(got(8000, 1 << 24)) == 400 and len(got(30, 1 << 24)) == 30
+    assert 900 <= size(got(8000, 1000)) <= 1000 and got(8000, 10) == []
+    assert quality_classifier.train(docs, labels, most_words=10) is None
+
+
+def test_classifier_by_hand(spark, folder):
+    """Scores, tails and the choice of every document from the model's numbers, in plain Python."""
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), quality_classifier.graded(spark.read.parquet(f"{folder}/labels.parquet"))
+    model = quality_classifier.train(docs, labels)
+    lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    for r in quality_classifier.score(docs, model, keep=["doc_id", "text"]).collect():
+        raw = (r.text or "").encode()
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", raw.translate(lower))
+        size, some = max(len(raw), 1), max(len(words), 1)
+        hashed = textscan.words(np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))]))[1] >> np.uint64(64 - quality_classifier.BITS)
+        slots = set(hashed.tolist())
+        count = lambda chars: sum(raw.count(bytes([c])) for c in chars) / size
+        shape = [np.log1p(len(words)), len(slots) / some, sum(a == b for a, b in zip(words, words[1:])) / some, size / some / 10]
+        shape += [count(c) for c in (bytes(range(65, 91)), b"0123456789", b"#*$%&|<>!@^~=+_{}[]\\/", b"\n", b".,;:?")] + [np.log1p(len(slots)) / np.log1p(some)]
+        z = [min(6, max(-6, (a - c) / d)) for a, c, d in zip(shape, model.centre, model.spread)]
+        total = sum(float(model.weights[s]) for s in slots) + sum(a * b for a, b in zip(z, model.shape))
+        tails = [1 / (1 + np.exp(cut - total)) for cut in model.thresholds]
+        assert r.expected_grade == pytest.approx(sum(tails), abs=1e-6) and r.p_best == pytest.approx(tails[-1], abs=1e-6) and r.p_above == pytest.approx(tails[0], abs=1e-6)
+        assert r.selected == (r.p_best >= model.limit)
+
+
 def test_classifier_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(1, 2), (1, 0), (5, 2), (8, 0), (None, 1), (9, None), (77, 2)], "doc_id long, grade int")
     model = quality_classifier.train(edges, labels)
