@@ -180,6 +180,25 @@ def hashjoin(left: Rel, right: Rel, on: Mapping[str, str] | Sequence[tuple[str,
     return Rel(joined, both.columns, both.order)
 
 
+def _rising(k: Key, kind: T.DataType) -> list[Column]:
+    """Columns whose ascending order is that of the key, so that the first row of a group is a plain minimum."""
+    x = F.col(k.name)
+    null = x.isNull() if k.nulls_last else x.isNotNull()
+    if k.ascending:
+        return [null, x]
+    if isinstance(kind, T.BooleanType):
+        return [null, ~x]
+    if isinstance(kind, T.IntegralType):
+        return [null, -x.cast("decimal(20,0)")]
+    if isinstance(kind, T.DecimalType):
+        return [null, -x]
+    if isinstance(kind, (T.DoubleType, T.FloatType)):  # NaN is above all numbers
+        return [null, ~F.isnan(x), -x]
+    # Byte by byte downwards; the mark at the end, above all digits, puts a longer text before its beginning.
+    text = x if isinstance(kind, (T.StringType, T.BinaryType)) else x.cast("string")
+    return [null, F.concat(F.translate(F.hex(text), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))]
+
+
 def groupby(t: Rel, keys: Sequence[str], aggregates: Mapping[str, Agg]) -> Rel:
     """Groups in order of their first row. NULL keys form a group. No keys: one row."""
     if len({*keys, *aggregates}) != len(keys) + len(aggregates):
@@ -187,10 +206,8 @@ def groupby(t: Rel, keys: Sequence[str], aggregates: Mapping[str, Agg]) -> Rel:
     if not keys:
         return Rel(t.df.agg(*[a.make().alias(n) for n, a in aggregates.items()]), tuple(aggregates))
     df, order = t.df, t.order
-    if order and not all(k.ascending and k.nulls_last for k in order):
-        name = hidden()
-        df, order = df.withColumn(name, F.row_number().over(Window.orderBy(*[k.column() for k in order]))), (Key(name),)
-    first = [F.min(F.struct(*[x for k in order for x in (F.col(k.name).isNull(), F.col(k.name))])).alias(hidden())] if order else []
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    first = [F.min(F.struct(*[x for k in order for x in _rising(k, kinds[k.name])])).alias(hidden())] if order else []
     made = [a.make().alias(n) for n, a in aggregates.items()] + first
     grouped = df.groupBy(*[t[k] for k in keys])
     out = grouped.agg(*made) if made else df.select(*[t[k] for k in keys]).distinct()
