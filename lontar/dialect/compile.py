@@ -19,12 +19,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lontar.dialect import nodes as n
 from lontar.engine.kinds import EXACT, NUMERIC
 from lontar.errors import general, type_error
-from lontar.operators.rel import Key, hidden
+from lontar.operators.rel import Key, hidden, rising
 
 AGGREGATES = ("count", "countif", "sum", "avg", "min", "max")
 MOST_VIEWS = 64
@@ -328,11 +327,8 @@ def compile_select(q: n.Select, find: Resolver, stack: tuple[str, ...] = ()) ->
         values, sorts = [value(i.expr) for i in items], [(value(o.expr), o.descending) for o in q.order]
         made = list(aggregates.made)
         if keys and order:
-            if not all(k.ascending and k.nulls_last for k in order):
-                number = hidden()
-                df, order = df.withColumn(number, F.row_number().over(Window.orderBy(*[k.column() for k in order]))), [Key(number)]
-            first = hidden()
-            made.append(F.min(F.struct(*[x for k in order for x in (F.col(k.name).isNull(), F.col(k.name))])).alias(first))
+            first, kinds = hidden(), {f.name: f.dataType for f in df.schema.fields}
+            made.append(F.min(F.struct(*[x for k in order for x in rising(k, kinds[k.name])])).alias(first))
             order = [Key(first)]
         else:
             order = []

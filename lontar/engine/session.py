@@ -34,6 +34,7 @@ class Session:
         self.db: Database | None = None
         self.base: Manifest | None = None
         self.staged: Manifest | None = None
+        self._held: str | None = None
         self.reads: set[str] = set()
         self.writes: set[str] = set()
         self.ddl = False
@@ -162,9 +163,13 @@ class Session:
         if self.staged is not None:
             raise general("a transaction is open already")
         self.base = self._open().head()
+        self._held = self.db.hold(self.base.csn)
         self.staged, self.reads, self.writes, self.ddl = self.base.copy(), set(), set(), False
 
     def _end(self) -> None:
+        if self._held:
+            self.db.release(self._held)
+        self._held = None
         self.base = self.staged = None
         self.reads, self.writes, self.ddl = set(), set(), False
 
@@ -277,6 +282,7 @@ class Session:
             self.reads.add(name)
         t.paths = [*t.paths, self.db.write(new.coalesce(1), name)]
         t.next_ord += len(rows)
+        t.rows = None if t.rows is None else t.rows + len(rows)
         self.writes.add(name)
         return len(rows)
 
@@ -336,6 +342,7 @@ class Session:
             t, df, rows = self._scope(s.table)
             hit = self._condition(rows, s.where)
             count = df.filter(hit).count()
+            t.rows = None if t.rows is None else t.rows - count
             if s.where is None:
                 t.paths = []
                 self.writes.add(s.table)
@@ -425,13 +432,21 @@ class Session:
         return self._open().read(t).orderBy(ORD).select(*[F.col(f"`{c}`") for c in names])
 
     def stream(self, name: str, columns: Iterable[str] | None = None, batch: int = 256) -> Iterator[list[tuple]]:
-        """Rows in insertion order, in batches; the driver holds one partition at a time."""
+        """Rows in insertion order, in batches; the driver holds one partition at a time.
+
+        Data folders follow each other in that order, so each is read and sorted when its turn comes, and a reader that stops early leaves the rest unread.
+        """
+        t = self.manifest.table(name)
+        self.reads.add(name)
+        names = [t.column(c).name for c in columns] if columns is not None else [c.name for c in t.columns]
         rows: list[tuple] = []
-        for row in self.scan_rows(name, columns).toLocalIterator(prefetchPartitions=False):
-            rows.append(tuple(row))
-            if len(rows) == batch:
-                yield rows
-                rows = []
+        for path in t.paths:
+            part = self._open().read(Table(t.columns, [path])).orderBy(ORD).select(*[F.col(f"`{c}`") for c in names])
+            for row in part.toLocalIterator(prefetchPartitions=False):
+                rows.append(tuple(row))
+                if len(rows) == batch:
+                    yield rows
+                    rows = []
         if rows:
             yield rows
 
@@ -490,12 +505,18 @@ class Session:
             picked.append(x.cast(SPARK[c.kind]).alias(c.name))
         # Ids grow in steps from task to task, so the order needs no shuffle; the counter moves past the greatest.
         path = self.db.write(rows.select(*picked, (F.lit(t.next_ord) + F.monotonically_increasing_id()).alias(ORD)), name)
+        new = self.db.read(Table(t.columns, [path]))
+        self._validate(name, new)
+        for what, columns in t.keys():  # the old rows are valid already: the new keys are looked up among them
+            keys = [F.col(f"`{c}`") for c in columns]
+            if t.paths and not self.db.read(t).select(*keys).join(new.select(*keys).dropna(), columns, "left_semi").isEmpty():
+                raise constraint(f"{what} ({', '.join(columns)}) must be unique")
         t.paths = [*t.paths, path]
-        count, last = self.spark.read.parquet(path).agg(F.count(F.lit(1)), F.max(ORD)).first()
+        count, last = new.agg(F.count(F.lit(1)), F.max(ORD)).first()
         t.next_ord = max(t.next_ord, (last if last is not None else -1) + 1)
+        t.rows = None if t.rows is None else t.rows + count
         self.reads.add(name)
         self.writes.add(name)
-        self._validate(name, self.db.read(t))
         return count
 
     def update_key(self, name: str, key: Any, change: Mapping[str, Any] | Callable[[dict[str, Any]], Mapping[str, Any]]) -> bool:
@@ -517,7 +538,9 @@ class Session:
         def run() -> bool:
             if self.lookup(name, key) is None:
                 return False
-            self._put(name, self.db.read(self.staged.table(name)).filter(~self._key(name, key)), validate=False)
+            t = self.staged.table(name)
+            self._put(name, self.db.read(t).filter(~self._key(name, key)), validate=False)
+            t.rows = None if t.rows is None else t.rows - 1
             return True
 
         return self._change(run)
@@ -527,7 +550,7 @@ class Session:
         return {"csn": m.csn, "versions": len(db.versions()), "tables": len(m.tables), "views": len(m.views), "folders": sum(len(t.paths) for t in m.tables.values())}
 
     def monitor(self, command: str) -> QueryResult:
-        """.databases .tables .schema NAME .current .mvcc .vacuum .compact NAME .help"""
+        """.databases .tables .schema NAME .current .mvcc .checkpoint .vacuum .compact NAME .help"""
         word, _, arg = command.strip().partition(" ")
         if word == ".databases":
             return QueryResult(["Database"], [[d] for d in sorted(os.listdir(self.root)) if os.path.isdir(os.path.join(self.root, d, "_log"))])
@@ -538,10 +561,12 @@ class Session:
             return QueryResult(["Column", "Kind", "Length", "Key", "Null"], [[c.name, c.kind, c.max_length if c.kind == "C" else None, "P" if c.primary else "N" if c.unique else "", c.nullable] for c in self.table_columns(arg)])
         if word == ".current":
             return QueryResult(["Database"], [[os.path.basename(self._open().folder)]])
-        if word in (".mvcc", ".checkpoint"):
+        if word == ".mvcc":
             return QueryResult(["Name", "Value"], [[k, v] for k, v in self.stats().items()])
-        if word in (".vacuum", ".compact") and self.role != "admin":
+        if word in (".vacuum", ".compact", ".checkpoint") and self.role != "admin":
             raise general("a reader may only query")
+        if word == ".checkpoint":
+            return self._status("Checkpointed", self._open().checkpoint())
         if word == ".vacuum":
             return self._status("Vacuumed", self._open().vacuum())
         if word == ".compact":

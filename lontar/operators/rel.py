@@ -180,7 +180,7 @@ def hashjoin(left: Rel, right: Rel, on: Mapping[str, str] | Sequence[tuple[str,
     return Rel(joined, both.columns, both.order)
 
 
-def _rising(k: Key, kind: T.DataType) -> list[Column]:
+def rising(k: Key, kind: T.DataType) -> list[Column]:
     """Columns whose ascending order is that of the key, so that the first row of a group is a plain minimum."""
     x = F.col(k.name)
     null = x.isNull() if k.nulls_last else x.isNotNull()
@@ -207,7 +207,7 @@ def groupby(t: Rel, keys: Sequence[str], aggregates: Mapping[str, Agg]) -> Rel:
         return Rel(t.df.agg(*[a.make().alias(n) for n, a in aggregates.items()]), tuple(aggregates))
     df, order = t.df, t.order
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    first = [F.min(F.struct(*[x for k in order for x in _rising(k, kinds[k.name])])).alias(hidden())] if order else []
+    first = [F.min(F.struct(*[x for k in order for x in rising(k, kinds[k.name])])).alias(hidden())] if order else []
     made = [a.make().alias(n) for n, a in aggregates.items()] + first
     grouped = df.groupBy(*[t[k] for k in keys])
     out = grouped.agg(*made) if made else df.select(*[t[k] for k in keys]).distinct()
