@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from lontar.functions import aggregates as a
 from lontar.functions import scalars as x
 from lontar.operators.rel import Rel, groupby, hashjoin, rdistinct, rel_table, rfilter, rlimit, rmap, rproject, rrename, rsort, runion, scalar
 from lontar.plans.analytic import Tables
+from lontar.plans.stored_suite import database
 from lontar.sources.tables import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,7 +238,7 @@ def op_documents_like(t):
 
 def session(t: Tables, *tables: str) -> Session:
     """A session over the files, without a database of its own."""
-    s = Session(t.spark, tempfile.gettempdir())
+    s = Session(t.spark, "")
     for name in tables:
         df = parquet(t.spark, t.folder, name)
         s.register(name, df.select(*[F.col(k).cast("bigint") if d == "int" else F.col(k) for k, d in df.dtypes]))
@@ -273,26 +273,10 @@ dialect("dialect_exact_ratio", ("supplier",), "Pilih 's_suppkey' Dari 'supplier'
 @query("SELECT n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation WHERE n_nationkey > 5 AND n_regionkey < 3")
 def op_view_nested(t):
     """A view on a view, over tables that the engine stores itself."""
-    import os
-    import shutil
-    import uuid
-
-    root = os.path.join(_shared(t.spark), f"views-{uuid.uuid4().hex}")
-    os.makedirs(root)
-    s = Session(t.spark, root)
-    try:
-        s.execute("Buat 'demo' -:")
+    with database(t.spark) as s:
         s.execute("Buat Tabel 'nation' Isi 'n_nationkey & n_name & n_regionkey' Dengan 'n_nationkey = I(P) & n_name = C(25) & n_regionkey = I' -:")
         s.bulk_insert("nation", t("nation", "n_nationkey", "n_name", "n_regionkey").frame())
         s.execute("Lihat 'later' Pilih 'n_name & n_regionkey' Dari 'nation' Dengan 'n_nationkey > 5' -:")
         s.execute("Lihat 'low' Pilih 'n_name & n_regionkey' Dari 'later' Dengan 'n_regionkey < 3' -:")
         found = s.execute("Tampilkan 'low' -:")
         return t.spark.createDataFrame(found.rows, "n_name string, n_regionkey long")
-    finally:
-        shutil.rmtree(root, ignore_errors=True)
-
-
-def _shared(spark: SparkSession) -> str:
-    """A local path that driver and executors share: below spark.checkpoint.dir if that is a file path."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
-    return named.removeprefix("file://") if named.startswith(("file:///", "/")) else tempfile.gettempdir()
