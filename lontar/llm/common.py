@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -14,13 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let texts travel to Python in batches of some megabytes: fewer rows than Spark's default, which a setting of the session's own outranks."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a single machine) a temporary folder is set.
+    Only where that is unset and all run on one machine (tests) a temporary folder is set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lontar-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -56,6 +66,20 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_unread(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles and checkpoints nothing refers to any more, and delete their files; it would else do so at some later time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def in_few(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """df, of at most so many rows, in as many tasks as they need; more than there are stay as they are.
+
+    A round over a few rows would otherwise write files for every shuffle partition.
+    """
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def uniform_cell(key: Column, bits: int = 32) -> Column:
     """The first `bits` bits of an md5 hex string as a long."""
     return F.conv(F.substring(key, 1, bits // 4), 16, 10).cast("long")

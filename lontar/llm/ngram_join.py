@@ -51,13 +51,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lontar.llm import textscan
-from lontar.llm.common import materialise, settle
+from lontar.llm.common import drop_unread, in_few, materialise, settle
 from lontar.llm.components import components
 from lontar.llm.textscan import mix
 
 U = np.uint64
 CHUNK = 1 << 16
 CELLS = 128
+#: Rows to a task of frames of numbers, of cells, and of pairs of sets.
+NUMBERS, OF_CELLS, OF_PAIRS = 1 << 16, 1 << 14, 1 << 12
 #: The fewest segments of a band: small sets would otherwise fall into one or two and be short of units.
 SMALL = 16
 #: The most hub rounds before the pairs that are left are verified all.
@@ -402,9 +404,11 @@ def possible(pairs: DataFrame, sets: DataFrame, light: DataFrame, p: Params) ->
 
     It lets no linked pair go, and most others before their texts are read. sets: (set_id, key), one row of docs for each set.
     """
+    n = pairs.count()
     wanted = _sets_of(pairs).join(sets.select("set_id", "key"), "set_id")
     cells = light.select(F.col("key").alias("of"), "n_shingles", "cells")
-    cells = materialise(wanted.join(cells, F.col("key") == F.col("of")).dropDuplicates(["set_id"]).select("set_id", "n_shingles", "cells"))
+    cells = wanted.join(cells, F.col("key") == F.col("of")).dropDuplicates(["set_id"]).select("set_id", "n_shingles", "cells")
+    cells = materialise(in_few(cells, 2 * n, OF_CELLS))
     rows = pairs.join(cells, F.col("b") == F.col("set_id")).select("a", "b", F.col("n_shingles").alias("n_b"), F.col("cells").alias("cells_b"))
     rows = rows.join(cells, F.col("a") == F.col("set_id")).select("a", "b", F.col("n_shingles").alias("n_a"), "n_b", F.col("cells").alias("cells_a"), "cells_b")
 
@@ -416,7 +420,7 @@ def possible(pairs: DataFrame, sets: DataFrame, light: DataFrame, p: Params) ->
             keep = ((x == 255) & (y == 255)).any(1) | (100 * both >= p.percent * (n - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return materialise(rows.mapInArrow(run, "a long, b long").distinct())
+    return materialise(in_few(rows, n, OF_CELLS).mapInArrow(run, "a long, b long"))
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame, p: Params = Params()) -> DataFrame:
@@ -445,6 +449,7 @@ def read_sets(docs: DataFrame, wanted: DataFrame, p: Params = Params()) -> DataF
 
 def verify(pairs: DataFrame, made: DataFrame, p: Params = Params()) -> DataFrame:
     """Those of the pairs (a, b) of set ids that are linked. made: the sets' shingles, by `read_sets`."""
+    n = pairs.count()
     rows = pairs.join(made, F.col("b") == F.col("set_id")).select("a", "b", F.col("blob").alias("blob_b"))
     rows = rows.join(made, F.col("a") == F.col("set_id")).select("a", "b", F.col("blob").alias("blob_a"), "blob_b")
 
@@ -457,7 +462,7 @@ def verify(pairs: DataFrame, made: DataFrame, p: Params = Params()) -> DataFrame
                 linked.append(100 * both >= p.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return settle(rows.mapInArrow(check, "a long, b long").distinct(), "links")
+    return settle(in_few(rows, n, OF_PAIRS).mapInArrow(check, "a long, b long"), "links")
 
 
 def _ordered(a: str, b: str) -> list:
@@ -480,7 +485,7 @@ def to_hubs(groups: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     members = _members(groups).join(salted, "gid", "left").withColumn("hub", F.coalesce("least", "hub"))
     star = members.filter("set_id != hub").groupBy("hub", "set_id").agg(F.max("size").alias("size"), F.sum("times").alias("shared")).filter("20 * shared >= size")
     star = star.join(sets.select(F.col("set_id").alias("hub"), F.col("size").alias("other")), "hub").filter(_fits("size", "other", p))
-    return materialise(star.select(*_ordered("hub", "set_id")).distinct())
+    return materialise(in_few(star.select(*_ordered("hub", "set_id")).distinct(), sets.count(), NUMBERS))
 
 
 def probes(members: DataFrame, labels: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
@@ -489,11 +494,13 @@ def probes(members: DataFrame, labels: DataFrame, p: Params) -> tuple[DataFrame,
     width: how many members the group has.
     """
     named = members.join(labels.select(F.col("u").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    several = materialise(named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("gid"))
+    n = members.count()
+    few = lambda df: materialise(in_few(df, n, NUMBERS))
+    several = few(named.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("gid"))
     # A plain group comes in one row from each bucket that holds keys of it: its keys are those of all of them. A salted key is one key.
     times = F.when(F.max("salted"), F.max("times")).otherwise(F.sum("times")).alias("times")
-    left = materialise(named.join(several, "gid").groupBy("gid", "set_id", "size", "unit", "lower", "label").agg(times, F.min("slack").alias("slack")))
-    per = materialise(left.groupBy("gid", "label").agg(F.sum(F.when(F.col("lower"), 0).otherwise(1)).alias("here"), F.count(F.lit(1)).alias("rows")))
+    left = few(named.join(several, "gid").groupBy("gid", "set_id", "size", "unit", "lower", "label").agg(times, F.min("slack").alias("slack")))
+    per = few(left.groupBy("gid", "label").agg(F.sum(F.when(F.col("lower"), 0).otherwise(1)).alias("here"), F.count(F.lit(1)).alias("rows")))
     everywhere = per.groupBy("gid").agg(F.sum("here").alias("all"), F.sum("rows").alias("width"))
     cost = left.join(per.join(everywhere, "gid").drop("rows"), ["gid", "label"]).withColumn("cost", F.col("all") - F.col("here"))
     # One row for each unit of a set: a plain group of keys, a segment, or the deletions of a segment (which need the segment too).
@@ -507,7 +514,7 @@ def probes(members: DataFrame, labels: DataFrame, p: Params) -> tuple[DataFrame,
     dearest = Window.partitionBy("set_id", "lower").orderBy(F.desc("cost"), F.desc("unit"), "name").rowsBetween(Window.unboundedPreceding, 0)
     chosen = units.withColumn("so_far", F.sum("count").over(dearest)).filter("so_far > slack and cost > 0").select("set_id", "lower", "unit", "name")
     probing = left.withColumn("name", unit).join(chosen, ["set_id", "lower", "unit", "name"]).join(everywhere.select("gid", "width"), "gid")
-    return left, materialise(probing.select("gid", "set_id", "size", "label", "lower", "width"))
+    return left, few(probing.select("gid", "set_id", "size", "label", "lower", "width"))
 
 
 def in_narrow(left: DataFrame, probing: DataFrame, p: Params) -> DataFrame:
@@ -522,8 +529,8 @@ def _with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("u", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
 
 
-def postings(made: DataFrame, p: Params) -> DataFrame:
-    """(x, set_id, size, reach): where each set has a shingle x that others of `made` have too, rarest first, and the largest partner that this place allows."""
+def postings(made: DataFrame, p: Params) -> tuple[DataFrame, int]:
+    """(x, set_id, size, reach): where each set has a shingle x that others of `made` have too, rarest first, and the largest partner that this place allows; and how many rows that is."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -538,29 +545,32 @@ def postings(made: DataFrame, p: Params) -> DataFrame:
     of_set = Window.partitionBy("set_id")
     place = F.col("size") - F.count(F.lit(1)).over(of_set) + F.row_number().over(of_set.orderBy("n", "x")) - 1
     placed = rows.join(often, "x").withColumn("place", place).withColumn("reach", F.expr(f"({100 + p.percent} * (size - place)) div {p.percent} - size"))
-    return materialise(placed.filter(f"100 * reach >= {p.percent} * size").select("x", "set_id", "size", "reach"))
+    shingles = made.agg(F.sum(F.octet_length("blob")) / 8).first()[0] or 0
+    out = materialise(in_few(placed.filter(f"100 * reach >= {p.percent} * size").select("x", "set_id", "size", "reach"), int(shingles), NUMBERS))
+    return out, out.count()
 
 
-def _still_open(named: DataFrame) -> DataFrame:
+def _still_open(named: DataFrame, n: int) -> DataFrame:
     """Those postings (x, set_id, size, reach, label) that a member of another label allows."""
     several = lambda df: df.join(df.groupBy("x").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("x"), "x")
-    named = materialise(several(named))
+    few = lambda df: materialise(in_few(df, n, NUMBERS))
+    named = few(several(named))
     bounds = named.groupBy("x").agg(F.min("size").alias("least"), F.min_by("label", "size").alias("least_of"), F.max("reach").alias("most"), F.max_by("label", "reach").alias("most_of"))
     named = named.join(bounds, "x")
     others = named.groupBy("x").agg(F.min(F.when(F.col("label") != F.col("least_of"), F.col("size"))).alias("least2"), F.max(F.when(F.col("label") != F.col("most_of"), F.col("reach"))).alias("most2"))
     allowed = "reach >= if(label = least_of, least2, least) and size <= if(label = most_of, most2, most)"
-    kept = materialise(named.join(others, "x").filter(allowed).select("x", "set_id", "size", "reach", "label"))
-    return materialise(several(kept))
+    kept = few(named.join(others, "x").filter(allowed).select("x", "set_id", "size", "reach", "label"))
+    return few(several(kept))
 
 
 def in_wide(made: DataFrame, links: DataFrame, p: Params) -> DataFrame:
     """Links between the sets of `made` that join what the links so far leave apart; hub rounds first, then every pair that is left."""
-    places = postings(made, p)
+    places, n = postings(made, p)
     allow = "l.size <= r.reach and r.size <= l.reach and l.label != r.label and " + _fits("l.size", "r.size", p)
     pair = [F.least("l.set_id", "r.set_id").alias("a"), F.greatest("l.set_id", "r.set_id").alias("b")]
     seen = found = None
     for step in range(ROUNDS + 1):
-        rows = _still_open(_with_labels(places, components(links)))
+        rows = _still_open(_with_labels(places, components(links)), n)
         of_each = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.expr("cast(n as decimal(20, 0)) * (n - 1) / 2"))).first()
         if not of_each[0]:
             break
@@ -569,9 +579,9 @@ def in_wide(made: DataFrame, links: DataFrame, p: Params) -> DataFrame:
             hubs = rows.groupBy("x").agg(F.max_by("set_id", F.col("reach") / F.col("size")).alias("set_id"))
             hubs = hubs.join(rows, ["x", "set_id"])
             pairs = rows.alias("l").join(hubs.alias("r"), F.expr("l.x = r.x and " + allow)).select(*pair).distinct()
-            pairs = materialise(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+            pairs = materialise(in_few(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), n, NUMBERS))
             new = verify(pairs, made, p)
-            seen = pairs if seen is None else materialise(seen.union(pairs))
+            seen = pairs if seen is None else seen.union(pairs)
         if last or new.isEmpty():
             pairs = rows.alias("l").join(rows.alias("r"), F.expr("l.x = r.x and l.set_id < r.set_id and " + allow)).select(*pair).distinct()
             new = verify(materialise(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")), made, p)
@@ -592,26 +602,29 @@ def join(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col
     docs = _texts(docs, id_col, text_col)
     light = materialise(document_sets(docs, p))
     full = light.filter("n_shingles > 0")
-    sets = materialise(full.groupBy("set_id").agg(F.min("key").alias("key"), F.max("n_shingles").alias("size")))
-    shingles = light.agg(F.sum("n_shingles")).first()[0] or 0
+    n, shingles = light.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    few = lambda df: materialise(in_few(df, n, NUMBERS))
+    sets = few(full.groupBy("set_id").agg(F.min("key").alias("key"), F.max("n_shingles").alias("size")))
     groups = materialise(shared_keys(docs, p, shingles))
+    drop_unread(docs.sparkSession)
     keyed = groups.filter("times > 0")
     first = possible(to_hubs(keyed, sets, p), sets, light, p)
     links = verify(first, read_sets(docs, _sets_of(first).join(sets.select("set_id", "key"), "set_id"), p), p)
     left, probing = probes(_members(keyed), components(links), p)
-    near = possible(materialise(in_narrow(left, probing, p).join(first, ["a", "b"], "left_anti")), sets, light, p)
+    drop_unread(docs.sparkSession)
+    near = possible(few(in_narrow(left, probing, p).join(first, ["a", "b"], "left_anti")), sets, light, p)
     wide = left.join(probing.filter(F.col("width") > p.wide).select("gid").distinct(), "gid").select("set_id").distinct()
     short = groups.filter("times = 0").select(F.col("hub").alias("set_id")).distinct()
-    wanted = materialise(wide.select("set_id", F.lit(1).alias("kind")).union(short.select("set_id", F.lit(2))).union(_sets_of(near).select("set_id", F.lit(0))))
-    made = materialise(read_sets(docs, wanted.select("set_id").distinct().join(sets.select("set_id", "key"), "set_id"), p))
+    wanted = few(wide.select("set_id", F.lit(1).alias("kind")).union(short.select("set_id", F.lit(2))).union(_sets_of(near).select("set_id", F.lit(0))))
+    made = materialise(in_few(read_sets(docs, wanted.select("set_id").distinct().join(sets.select("set_id", "key"), "set_id"), p), wanted.count(), OF_PAIRS))
     links = links.union(verify(near, made, p))
     of_kind = lambda kind: made.join(wanted.filter(F.col("kind") == kind), "set_id", "left_semi")
-    links = links.union(in_wide(materialise(of_kind(1)), links, p)).union(against_all(docs, of_kind(2), p))
-    named = materialise(_with_labels(sets.select("set_id", "key"), components(links)))
+    links = links.union(in_wide(materialise(in_few(of_kind(1), n, OF_PAIRS)), links, p)).union(against_all(docs, of_kind(2), p))
+    named = few(_with_labels(sets.select("set_id", "key"), components(links)))
     ids = full.select(F.col("set_id").alias("of"), "doc_id").groupBy("of").agg(F.min("doc_id").alias("doc_id"))
-    named = materialise(named.join(ids, F.col("set_id") == F.col("of"), "left").select("set_id", "label", "doc_id"))
-    least = materialise(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    of_set = materialise(named.join(least, "label").select(F.col("set_id").alias("__set"), "component_id", F.col("label").alias("component")))
+    named = few(named.join(ids, F.col("set_id") == F.col("of"), "left").select("set_id", "label", "doc_id"))
+    least = few(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    of_set = few(named.join(least, "label").select(F.col("set_id").alias("__set"), "component_id", F.col("label").alias("component")))
     out = light.join(of_set, (F.col("set_id") == F.col("__set")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "set_id", "key", "component")
 

@@ -66,8 +66,9 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about `most` bytes of text at most; a longer text stands alone."""
+def pieces(batch: pa.RecordBatch, column: str, most: int = 2 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about `most` bytes of text at most; a longer text stands alone. What earlier batches took is given back first."""
+    pa.default_memory_pool().release_unused()
     _, offsets = utf8(batch.column(column))
     at = 0
     while at < batch.num_rows:
