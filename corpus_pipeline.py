@@ -6,10 +6,12 @@ the columns of docs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lontar.llm import ngram_join, packing, quality_classifier, quality_rules, secret_scan
-from lontar.llm.common import scratch, table
+from lontar.llm.common import scratch, small_batches, table
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,20 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality_classifier", quality_classifier_stage),
-    ("quality_rules", quality_rules_stage),
-    ("near_duplicates", near_duplicates_stage),
-    ("secret_scan", secret_scan_stage),
-    ("packing", packing_stage),
+    ("quality_classifier", _stage(quality_classifier_stage)),
+    ("quality_rules", _stage(quality_rules_stage)),
+    ("near_duplicates", _stage(near_duplicates_stage)),
+    ("secret_scan", _stage(secret_scan_stage)),
+    ("packing", _stage(packing_stage)),
 ]
 
 #: Trained models and compression ratios are beyond SQL; the pipeline is held against a brute-force version in tests/llm.
