@@ -1,11 +1,15 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-One linear score over hashed words and a few measures of shape is shared by all grades;
+One linear score over hashed features of the text and a few measures of shape is shared by all grades;
 ordered thresholds cut it, P(grade <= k) = sigmoid(threshold_k - score). From these come the
-expected grade and the tail probability P(grade >= k) by which rows are selected.
+expected grade and the tail probability P(grade >= k) by which rows are selected. The features are, each once a
+text: its words, the stems (first five bytes) of its longer words, and the stems that two or more different
+words of it share; a rude word that is inflected or compounded is thus known by its stem.
+Only features that go with the grades (`least_z` standard errors from chance at some threshold) have a
+weight, so long texts gather no noise from thousands of words that say nothing.
 
 The model is fitted on a bounded sample of labelled rows (`most_labels`, those with the
-smallest md5 of their id, with at most `most_words` distinct words in all), a part of which is held out. Grades between the poorest and the best (toxic text) are
+smallest md5 of their id, with at most `most_words` distinct features in all), a part of which is held out. Grades between the poorest and the best (toxic text) are
 rare and count `rare_weight` times in the fit. On the held-out rows the selection limit is set: as low as `keep_share` of the
 best grade asks, but higher where less than `rare_recall` of the grades between would go, while `least_share` of the best stays.
 Scoring is one narrow pass over every row.
@@ -29,8 +33,10 @@ from pyspark.sql.window import Window
 from lontar.llm import textscan
 from lontar.llm.common import materialise
 
-BITS = 18
+BITS = 26
 SHAPE = 10
+STEM = 5
+_STEM_SALT, _SHARED_SALT = np.uint64(0x5354454D) << np.uint64(32), np.uint64(0x53484152) << np.uint64(32)
 
 
 def _share(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -48,24 +54,36 @@ def _in(chars: bytes) -> np.ndarray:
 _UPPER, _DIGIT, _SYMBOL, _BREAK, _STOP = _in(bytes(range(65, 91))), _in(b"0123456789"), _in(b"#*$%&|<>!@^~=+_{}[]\\/"), _in(b"\n"), _in(b".,;:?")
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, hashed word) of the distinct words of each text, and its measures of shape."""
+    """(text index, hashed feature) of the distinct features of each text in order of the texts, and its measures of shape."""
     n = len(offsets) - 1
-    text, hashes = textscan.words(data, offsets, lower=True, space=textscan.NOT_LETTER)
-    slot = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-    pair = np.unique((text.astype(np.int64) << BITS) | slot)
-    where, slot = pair >> BITS, pair & ((1 << BITS) - 1)
-    count, distinct = np.bincount(text, minlength=n), np.bincount(where, minlength=n)
+    text, hashes, start, end = textscan.words(data, offsets, lower=True, keep_spans=True, space=textscan.NOT_LETTER)
+    word, first = np.unique((text.astype(np.int64) << BITS) | _slot(hashes), return_index=True)
+    count, distinct = np.bincount(text, minlength=n), np.bincount(word >> BITS, minlength=n)
+    first = first[end[first] - start[first] > STEM]
+    stem = np.zeros(len(first), np.uint64)
+    for i in range(STEM):
+        stem |= textscan.LOWER[data[start[first] + i]].astype(np.uint64) << np.uint64(8 * i)
+    made = [word]
+    for salt, least in ((_STEM_SALT, 1), (_SHARED_SALT, 2)):
+        pair, words = np.unique((text[first].astype(np.int64) << BITS) | _slot(textscan.mix(stem ^ salt)), return_counts=True)
+        made.append(pair[words >= least])
+    pair = np.unique(np.concatenate(made))
     follow = np.bincount(text[1:][(hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])], minlength=n) if len(text) else np.zeros(n)
     size, some = np.maximum(np.diff(offsets), 1), np.maximum(count, 1)
     shape = np.stack([np.log1p(count), distinct / some, follow / some, size / some / 10, *(_share(t, data, offsets, size) for t in (_UPPER, _DIGIT, _SYMBOL, _BREAK, _STOP)), np.log1p(distinct) / np.log1p(some)], axis=1)
-    return where, slot, shape.astype(np.float64)
+    return pair >> BITS, pair & ((1 << BITS) - 1), shape.astype(np.float64)
 
 
 @dataclass
 class Ordinal:
-    """weights: per hashed word; shape: per standardised measure; thresholds: ascending."""
+    """weights: of the hashed features `names`, ascending; shape: per standardised measure; thresholds: ascending."""
 
+    names: np.ndarray
     weights: np.ndarray
     shape: np.ndarray
     centre: np.ndarray
@@ -73,8 +91,14 @@ class Ordinal:
     thresholds: np.ndarray
     limit: float = 0.5
 
+    def weight(self, slot: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros(len(slot))
+        at = np.minimum(np.searchsorted(self.names, slot), len(self.names) - 1)
+        return np.where(self.names[at] == slot, self.weights[at], 0.0)
+
     def score(self, where: np.ndarray, slot: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        words = np.bincount(where, weights=self.weights[slot], minlength=len(shape))
+        words = np.bincount(where, weights=self.weight(slot), minlength=len(shape))
         return words + np.clip((shape - self.centre) / self.spread, -6, 6) @ self.shape
 
     def tails(self, score: np.ndarray) -> np.ndarray:
@@ -82,14 +106,27 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit(where: np.ndarray, slot: np.ndarray, shape: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400, least_rows: int = 4, penalty: float = 1e-3, weight: np.ndarray | None = None) -> Ordinal:
-    """Maximum likelihood with an L2 penalty, by Adam over the whole sample; words in fewer than `least_rows` rows stay at 0. weight: of each row."""
+def telling(where: np.ndarray, feature: np.ndarray, features: int, grade: np.ndarray, grades: int, least_rows: int, least_z: float) -> np.ndarray:
+    """Which features, of those in `least_rows` rows or more, have a share of rows above some threshold that differs from all rows' by `least_z` standard errors."""
+    rows, n = np.bincount(feature, minlength=features), len(grade)
+    out = np.zeros(features, bool)
+    for k in range(1, grades):
+        up = grade >= k
+        part = up.mean()
+        above = np.bincount(feature, weights=up[where], minlength=features)
+        error = np.sqrt(rows * part * (1 - part) * (1 - rows / n) + 0.5)
+        out |= np.abs(above - rows * part) > least_z * error
+    return out & (rows >= least_rows)
+
+
+def fit(where: np.ndarray, slot: np.ndarray, shape: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400, least_rows: int = 4, least_z: float = 4.0, penalty: float = 1e-3, weight: np.ndarray | None = None) -> Ordinal:
+    """Maximum likelihood with an L2 penalty, by Adam over the whole sample, of the features that `telling` finds. weight: of each row."""
     n = len(grade)
     part_of = np.full(n, 1 / n) if weight is None else weight / weight.sum()
-    often = np.bincount(slot, minlength=1 << BITS) >= least_rows
-    use = often[slot]
-    where, slot = where[use], slot[use]
     names, local = np.unique(slot, return_inverse=True)
+    chosen = telling(where, local, len(names), grade, grades, least_rows, least_z)
+    use = chosen[local]
+    where, local, names = where[use], (np.cumsum(chosen) - 1)[local[use]], names[chosen]
     centre, spread = shape.mean(0), shape.std(0) + 1e-6
     z = np.clip((shape - centre) / spread, -6, 6)
     part = np.array([(grade >= k).mean() for k in range(1, grades)]).clip(1e-3, 1 - 1e-3)
@@ -113,13 +150,11 @@ def fit(where: np.ndarray, slot: np.ndarray, shape: np.ndarray, grade: np.ndarra
         g[:s_end] += penalty * x[:s_end]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x -= 0.08 * (1 - 0.7 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-    weights = np.zeros(1 << BITS)
-    weights[names] = x[:w_end]
-    return Ordinal(weights, x[w_end:s_end], centre, spread, x[s_end] + np.concatenate([[0.0], np.cumsum(np.exp(x[s_end + 1 :]))]))
+    return Ordinal(names, x[:w_end], x[w_end:s_end], centre, spread, x[s_end] + np.concatenate([[0.0], np.cumsum(np.exp(x[s_end + 1 :]))]))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, most: int, most_words: int) -> list[tuple]:
-    """The features of at most `most` labelled rows with at most `most_words` distinct words in all, collected to the driver.
+    """The features of at most `most` labelled rows with at most `most_words` distinct features in all, collected to the driver.
 
     Rows are taken in the order of their ids' md5; the one that would pass a bound and all after it are left out.
     """
@@ -147,7 +182,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, gr
     return sorted((r.id, r.grade, r.slots, r.shape) for r in got)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most_labels: int = 8000, most_words: int = 1 << 24, hold_out: int = 4, keep_share: float = 0.995, rare_weight: float = 3.0, rare_recall: float = 0.75, least_share: float = 0.98) -> Ordinal | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most_labels: int = 8000, most_words: int = 1 << 24, hold_out: int = 4, keep_share: float = 0.995, rare_weight: float = 3.0, rare_recall: float = 0.95, least_share: float = 0.985) -> Ordinal | None:
     """Fit on labelled rows; each `hold_out`-th of them sets the limit on P(best grade)."""
     rows = _labelled(docs, labels, id_col, text_col, grade_col, most_labels, most_words)
     grade = np.array([r[1] for r in rows], np.int64)
@@ -177,14 +212,12 @@ def score(docs: DataFrame, model: Ordinal | None, text_col: str = "text", keep:
     if model is None:
         return docs.select(*[f"`{c}`" for c in own], *[F.lit(None).cast("double").alias(c) for c in made[:3]], F.lit(True).alias("selected"))
     source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*own, text_col])])
-    shipped = model
-    shipped.weights = shipped.weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in textscan.pieces(whole, text_col):
-                tails = shipped.tails(shipped.score(*features(*textscan.utf8(batch.column(text_col)))))
-                out = [tails.sum(1), tails[:, -1], tails[:, 0], tails[:, -1] >= shipped.limit]
+                tails = model.tails(model.score(*features(*textscan.utf8(batch.column(text_col)))))
+                out = [tails.sum(1), tails[:, -1], tails[:, 0], tails[:, -1] >= model.limit]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *map(pa.array, out)], names=[*own, *made])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in own]).schema]
