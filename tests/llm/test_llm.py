@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import hmac
 import random
 import re
 import zlib
@@ -102,8 +103,36 @@ def test_pii_is_a_permutation(spark):
     assert moved.distinct().count() == 36525 and moved.filter("d < '1950-01-01' or d > '2049-12-31'").isEmpty()
 
 
+def test_pii_iban_before_other_words(spark):
+    """An IBAN ends where its country's does; what follows in capitals or digits is not a part of it."""
+    ibans = ["BE68539007547034", "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "GB82 WEST 1234 5698 7654 32"]
+    rows = [(f"{i}{tail}", tail) for i in ibans for tail in (" EUR 50", " 2024", " ABCD", "", ".")]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "text string, tail string").withColumn("was", F.col("text")), "key").collect()
+    for r in got:
+        made = r.text[: len(r.was) - len(r.tail)]
+        plain = made.replace(" ", "")
+        assert r.n_iban == 1 and r.text.endswith(r.tail) and made != r.was[: len(made)] and [c == " " for c in made] == [c == " " for c in r.was[: len(made)]]
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+@pytest.mark.parametrize("key", ["key", "a key's \\ long tail " * 9])
+def test_pii_is_restored(spark, folder, key):
+    """Whoever has the key gets back all but e-mail addresses."""
+    more = [(-1, "4111 1111 1111 1111; BE68 5390 0754 7034 EUR; 219-09-9999; +44 (20) 7946 0958 190.1.2.3; 0049-12-20; 9950-01-20; 31/12/1949; 0.0.0.0; a.b@c.de"), (-2, None)]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    hidden = pii.pseudonymise(docs, key)
+    back = {r.doc_id: r for r in pii.restore(hidden.drop(*[f"n_{k}" for k in pii.KINDS]), key).collect()}
+    mail = lambda text: text and re.sub(r"[^\s@]+@", "@", text)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert any(back[r.doc_id].text != r.text for r in hidden.collect())
+    for r in hidden.collect():
+        was = back[r.doc_id]
+        assert (mail(was.text) if r.n_email else was.text) == (mail(texts[r.doc_id]) if r.n_email else texts[r.doc_id])
+        assert was.n_email == 0 and all(was[f"n_{k}"] == r[f"n_{k}"] for k in pii.KINDS if k != "email")
+
+
 def feistel_by_hand(key, tweak, a, b, ma, mb):
-    word = lambda i, x: int(hashlib.sha256(f"{key}:{tweak}:{i}:{x}:{key}".encode()).hexdigest()[:15], 16)
+    word = lambda i, x: int(hmac.new(key.encode(), f"{tweak}:{i}:{x}".encode(), "sha256").hexdigest()[:15], 16)
     for i in range(pii.ROUNDS):
         a, b = ((a + word(i, b)) % ma, b) if i % 2 == 0 else (a, (b + word(i, a)) % mb)
     return a, b
@@ -121,7 +150,7 @@ def pseudonym_by_hand(key, kind, m):
 
     refill = lambda template, digits: (lambda it: "".join(next(it) if c in "0123456789" else c for c in template))(iter(digits))
     if kind == "email":
-        return "u" + hashlib.sha256(f"{key}:email:{m.lower()}".encode()).hexdigest()[:20] + m[m.index("@") :]
+        return "u" + hmac.new(key.encode(), f"email:{m.lower()}".encode(), "sha256").hexdigest()[:20] + m[m.index("@") :]
     if kind == "ip":
         o = m.split(".")
         if any(int(x) > 255 or (x != "0" and x[0] == "0") for x in o):
@@ -134,9 +163,9 @@ def pseudonym_by_hand(key, kind, m):
             d = dt.datetime.strptime(m, style).date()
         except ValueError:
             return None
-        if not 50 <= d.year <= 9949:
-            return None
         days = (d - dt.date(1950, 1, 1)).days
+        if not -19 <= days // 36525 <= 79:
+            return None
         a, b = feistel_by_hand(key, "date", days % 36525 // 487, days % 36525 % 487, 75, 487)
         new = dt.date(1950, 1, 1) + dt.timedelta(days // 36525 * 36525 + a * 487 + b)
         return f"{new.year:04}-{new.month:02}-{new.day:02}" if m[4] == "-" else f"{new.day:02}{m[2]}{new.month:02}{m[2]}{new.year:04}"
