@@ -9,7 +9,8 @@ Only features that go with the grades (`least_z` standard errors from chance at
 weight, so long texts gather no noise from thousands of words that say nothing.
 
 The model is fitted on a bounded sample of labelled rows (`most_labels`, those with the
-smallest md5 of their id, with at most `most_words` distinct features in all), a part of which is held out. Grades between the poorest and the best (toxic text) are
+smallest md5 of their id, with at most `most_words` distinct features in all), a part of which is held out. The features of
+the sample stay with the executors, which count them by grade; only those with a weight are collected. Grades between the poorest and the best (toxic text) are
 rare and count `rare_weight` times in the fit. On the held-out rows the selection limit is set: as low as `keep_share` of the
 best grade asks, but higher where less than `rare_recall` of the grades between would go, while `least_share` of the best stays.
 Scoring is one narrow pass over every row.
@@ -21,14 +22,13 @@ null and every row is selected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lontar.llm import textscan
 from lontar.llm.common import materialise
@@ -36,6 +36,8 @@ from lontar.llm.common import materialise
 BITS = 26
 SHAPE = 10
 STEM = 5
+#: A feature has a weight if it is in so many rows, and so many standard errors from chance.
+LEAST_ROWS, LEAST_Z = 4, 4.0
 _STEM_SALT, _SHARED_SALT = np.uint64(0x5354454D) << np.uint64(32), np.uint64(0x53484152) << np.uint64(32)
 
 
@@ -106,20 +108,26 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def telling(where: np.ndarray, feature: np.ndarray, features: int, grade: np.ndarray, grades: int, least_rows: int, least_z: float) -> np.ndarray:
-    """Which features, of those in `least_rows` rows or more, have a share of rows above some threshold that differs from all rows' by `least_z` standard errors."""
-    rows, n = np.bincount(feature, minlength=features), len(grade)
-    out = np.zeros(features, bool)
-    for k in range(1, grades):
-        up = grade >= k
-        part = up.mean()
-        above = np.bincount(feature, weights=up[where], minlength=features)
-        error = np.sqrt(rows * part * (1 - part) * (1 - rows / n) + 0.5)
-        out |= np.abs(above - rows * part) > least_z * error
+def stand_out(rows: np.ndarray, above: list[np.ndarray], part: list[float], n: int, least_rows: int, least_z: float) -> np.ndarray:
+    """Which features, of those in `least_rows` rows or more, have a share of rows above some threshold that differs from all rows' by `least_z` standard errors.
+
+    rows: that have the feature; above: those of them above each threshold; part: the share of all n rows that is.
+    """
+    out = np.zeros(len(rows), bool)
+    for up, share in zip(above, part):
+        error = np.sqrt(rows * share * (1 - share) * (1 - rows / n) + 0.5)
+        out |= np.abs(up - rows * share) > least_z * error
     return out & (rows >= least_rows)
 
 
-def fit(where: np.ndarray, slot: np.ndarray, shape: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400, least_rows: int = 4, least_z: float = 4.0, penalty: float = 1e-3, weight: np.ndarray | None = None) -> Ordinal:
+def telling(where: np.ndarray, feature: np.ndarray, features: int, grade: np.ndarray, grades: int, least_rows: int, least_z: float) -> np.ndarray:
+    """Which features `stand_out`."""
+    up = [grade >= k for k in range(1, grades)]
+    above = [np.bincount(feature, weights=u[where], minlength=features) for u in up]
+    return stand_out(np.bincount(feature, minlength=features), above, [u.mean() for u in up], len(grade), least_rows, least_z)
+
+
+def fit(where: np.ndarray, slot: np.ndarray, shape: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z, penalty: float = 1e-3, weight: np.ndarray | None = None) -> Ordinal:
     """Maximum likelihood with an L2 penalty, by Adam over the whole sample, of the features that `telling` finds. weight: of each row."""
     n = len(grade)
     part_of = np.full(n, 1 / n) if weight is None else weight / weight.sum()
@@ -153,8 +161,8 @@ def fit(where: np.ndarray, slot: np.ndarray, shape: np.ndarray, grade: np.ndarra
     return Ordinal(names, x[:w_end], x[w_end:s_end], centre, spread, x[s_end] + np.concatenate([[0.0], np.cumsum(np.exp(x[s_end + 1 :]))]))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, most: int, most_words: int) -> list[tuple]:
-    """The features of at most `most` labelled rows with at most `most_words` distinct features in all, collected to the driver.
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, most: int, most_words: int) -> tuple[DataFrame | None, list[Row]]:
+    """(number, grade, slots) of at most `most` labelled rows with at most `most_words` distinct features in all; and (id, grade, shape) of each number, on the driver.
 
     Rows are taken in the order of their ids' md5; the one that would pass a bound and all after it are left out.
     """
@@ -170,21 +178,77 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, gr
                 slots = [slot[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.string()), batch.column("__grade"), pa.array(slots, pa.binary()), pa.array([r.tobytes() for r in shape], pa.binary())], names=["id", "grade", "slots", "shape"])
 
-    # Ids may repeat in docs, and texts may be long: both bounds hold for what is collected.
-    light = materialise(rows.mapInArrow(run, "id string, grade int, slots binary, shape binary"))
-    key = F.struct(F.md5("id"), "id", F.xxhash64("slots"))
-    least = light.select(key.alias("at"), (F.octet_length("slots") / 4).cast("long").alias("n")).orderBy("at").limit(most)
-    so_far = least.withColumn("total", F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    last = so_far.filter(F.col("total") <= most_words).agg(F.max("at")).first()[0]
-    if last is None:
+    # Ids may repeat in docs, and texts may be long: both bounds hold for what is taken.
+    light = materialise(rows.mapInArrow(run, "id string, grade int, slots binary, shape binary").withColumn("row", F.monotonically_increasing_id()))
+    head = light.select("row", "id", "grade", "shape", F.xxhash64("slots").alias("hash"), (F.octet_length("slots") / 4).cast("long").alias("n"))
+    head = head.orderBy(F.md5("id"), "id", "hash", "shape").limit(most).collect()
+    within = np.cumsum([r.n for r in head]) <= most_words
+    head = sorted((r for r, x in zip(head, within) if x), key=lambda r: (r.id, r.grade, r.hash, r.shape))
+    if not head:
+        return None, []
+    numbers = docs.sparkSession.createDataFrame([(r.row, i) for i, r in enumerate(head)], "row long, number int")
+    return light.select("row", "grade", "slots").join(F.broadcast(numbers), "row").drop("row"), head
+
+
+def _slots_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(row index, hashed feature) of the column slots."""
+    data, offsets = textscan.utf8(batch.column("slots"))
+    return np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 4), np.ascontiguousarray(data).view(np.int32)
+
+
+def _telling_in(sample: DataFrame, grade: np.ndarray, fitted: np.ndarray) -> np.ndarray:
+    """The features that stand out in the fitted rows of the sample, ascending; they are counted where they are. grade, fitted: by number."""
+    if len(np.unique(grade)) < 2:
+        return np.empty(0, np.int64)
+    grades, n = int(grade.max()) + 1, int(fitted.sum())
+    part = [(grade[fitted] >= k).mean() for k in range(1, grades)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            batch = whole.filter(pa.array(fitted[whole.column("number").to_numpy()]))
+            where, slot = _slots_of(batch)
+            each, rows = np.unique(slot.astype(np.int64) * grades + batch.column("grade").to_numpy()[where], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((each // grades).astype(np.int32)), pa.array((each % grades).astype(np.int32)), pa.array(rows, pa.int64())], names=["slot", "grade", "rows"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, *above = (batch.column(k).to_numpy() for k in range(1, batch.num_columns))
+            yield batch.select(["slot"]).filter(pa.array(stand_out(rows, above, part, n, LEAST_ROWS, LEAST_Z)))
+
+    above = [F.sum(F.when(F.col("grade") >= k, F.col("rows")).otherwise(0)).alias(f"above{k}") for k in range(1, grades)]
+    counted = sample.mapInArrow(count, "slot int, grade int, rows long").groupBy("slot").agg(F.sum("rows").alias("rows"), *above)
+    return np.sort(np.array([r.slot for r in counted.mapInArrow(find, "slot int").collect()], np.int64))
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, most: int, most_words: int, choose: Callable[[DataFrame, np.ndarray], np.ndarray] | None = None) -> list[tuple]:
+    """(id, grade, features, shape) of the rows of `_sample`, collected to the driver.
+
+    choose: which features, ascending, to collect, by the sample and the grades in order of its numbers; without it all of them.
+    """
+    sample, head = _sample(docs, labels, id_col, text_col, grade_col, most, most_words)
+    if sample is None:
         return []
-    got = light.filter(key <= F.struct(*[F.lit(x) for x in last])).orderBy(key).limit(most).collect()
-    return sorted((r.id, r.grade, r.slots, r.shape) for r in got)
+    if choose is not None:
+        shipped = docs.sparkSession.sparkContext.broadcast(choose(sample, np.array([r.grade for r in head], np.int64)))
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = shipped.value
+            for batch in batches:
+                where, slot = _slots_of(batch)
+                at = np.searchsorted(names, slot)
+                use = np.append(names, -1)[at] == slot
+                where, slot = where[use], slot[use]
+                cuts = np.searchsorted(where, np.arange(batch.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array([slot[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["number", "slots"])
+
+        sample = sample.select("number", "slots").mapInArrow(pick, "number int, slots binary")
+    slots = {r.number: r.slots for r in sample.select("number", "slots").collect()}
+    return [(r.id, r.grade, slots[i], r.shape) for i, r in enumerate(head)]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most_labels: int = 8000, most_words: int = 1 << 24, hold_out: int = 4, keep_share: float = 0.995, rare_weight: float = 3.0, rare_recall: float = 0.95, least_share: float = 0.985) -> Ordinal | None:
     """Fit on labelled rows; each `hold_out`-th of them sets the limit on P(best grade)."""
-    rows = _labelled(docs, labels, id_col, text_col, grade_col, most_labels, most_words)
+    rows = _labelled(docs, labels, id_col, text_col, grade_col, most_labels, most_words, lambda sample, grade: _telling_in(sample, grade, np.arange(len(grade)) % hold_out != 0))
     grade = np.array([r[1] for r in rows], np.int64)
     if len(np.unique(grade)) < 2:
         return None

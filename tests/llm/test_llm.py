@@ -967,6 +967,29 @@ def test_classifier_bounds_what_it_collects(spark):
     assert quality_classifier.train(docs, labels, most_words=10) is None
 
 
+def test_classifier_collects_only_features_with_a_weight(spark):
+    """The driver holds a small part of the sample's features, and the model is the one that all of them give."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    texts = [" ".join([("bad" if i % 3 == 0 else "fine" if i % 3 == 2 else "so") + " word", *(f"w{k}" for k in r.integers(0, 1 << 40, 3000))]) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 3) for i in range(300)], "doc_id long, grade int")
+    quality_classifier.train(docs.limit(3), labels)
+    tracemalloc.start()
+    model = quality_classifier.train(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = quality_classifier._labelled(docs, labels, "doc_id", "text", "grade", 8000, 1 << 24)
+    assert sum(len(x[2]) for x in rows) > 4_000_000 and most < 4_000_000
+    kept = [x for i, x in enumerate(rows) if i % 4]
+    slots, shape = [np.frombuffer(x[2], np.int32).astype(np.int64) for x in kept], np.array([np.frombuffer(x[3]) for x in kept])
+    grade = np.array([x[1] for x in kept])
+    whole = quality_classifier.fit(np.repeat(np.arange(len(kept)), [len(x) for x in slots]), np.concatenate(slots), shape, grade, 3, weight=np.where(grade == 1, 3.0, 1.0))
+    assert len(model.names) and model.names.tolist() == whole.names.tolist()
+    assert model.weights.tolist() == whole.weights.tolist() and model.thresholds.tolist() == whole.thresholds.tolist()
+
+
 def test_classifier_by_hand(spark, folder):
     """Scores, tails and the choice of every document from the model's numbers, in plain Python."""
     docs, larger = spark.read.parquet(f"{folder}/documents.parquet"), "/root/testdata/sf0.01"
