@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import time
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from contextlib import contextmanager
@@ -545,6 +546,39 @@ class Session:
 
         return self._change(run)
 
+    def bulk_delete(self, name: str, keys: DataFrame) -> int:
+        """Delete the rows whose primary keys a DataFrame holds, by one rewrite of the table; how many there were.
+
+        Its columns must have the names and types of the key's (narrower integers will do); others are passed over.
+        """
+
+        def run() -> int:
+            t = self.staged.table(name)
+            if not t.primary:
+                raise general(f"{name} has no primary key")
+            given, picked = dict(keys.dtypes), []
+            for c in t.primary:
+                kind = SPARK[t.column(c).kind]
+                if given.get(c) != kind and not (kind == "bigint" and given.get(c) in ("int", "smallint", "tinyint")):
+                    raise type_error(f"{c} takes keys of type {kind}")
+                picked.append(F.col(f"`{c}`").cast(kind).alias(c))
+            self.reads.add(name)
+            if not t.paths:
+                return 0
+            rows = self.db.read(t)
+            left = rows.join(keys.select(*picked), t.primary, "left_anti").select(*[F.col(f"`{c.name}`") for c in t.columns], ORD)
+            path = self.db.write(left, name)
+            count = rows.count() - self.db.read(Table(t.columns, [path])).count()  # both from the files' footers
+            if not count:
+                shutil.rmtree(path)
+                return 0
+            t.paths = [path]
+            t.rows = None if t.rows is None else t.rows - count
+            self.writes.add(name)
+            return count
+
+        return self._change(run)
+
     def stats(self) -> dict[str, int]:
         m, db = self.manifest, self._open()
         return {"csn": m.csn, "versions": len(db.versions()), "tables": len(m.tables), "views": len(m.views), "folders": sum(len(t.paths) for t in m.tables.values())}

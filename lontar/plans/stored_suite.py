@@ -14,6 +14,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lontar.engine.formatter import to_json
 from lontar.engine.session import Session
@@ -48,10 +49,17 @@ def database(spark: SparkSession) -> Iterator[Session]:
         shutil.rmtree(root, ignore_errors=True)
 
 
+def _file(spark: SparkSession) -> str:
+    return f"file://{shared_path(spark)}/files-{uuid.uuid4().hex}"
+
+
 def stored(schema: str, sql: str):
-    """Register a function of a session with the tables supplier and nation that gives rows."""
+    """Register a function of a session with the tables supplier and nation that gives a DataFrame, or rows of the driver.
+
+    A DataFrame is written beside the database before that is deleted, so its rows never meet in the driver and may be any number.
+    """
 
-    def add(f: Callable[[Session], list]) -> Callable[[Session], list]:
+    def add(f: Callable[[Session], DataFrame | list]) -> Callable[[Session], DataFrame | list]:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             with database(spark) as s:
                 s.execute("Buat Tabel 'supplier' Isi 's_suppkey & s_name & s_nationkey' Dengan 's_suppkey = I(P) & s_name = C(40) & s_nationkey = I' -:")
@@ -59,7 +67,12 @@ def stored(schema: str, sql: str):
                 s.execute("Buat Tabel 'nation' Isi 'n_nationkey & n_name & n_regionkey' Dengan 'n_nationkey = I(P) & n_name = C(25&N) & n_regionkey = I' -:")
                 rows = parquet(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()
                 s.bulk_insert("nation", (r.asDict() for r in rows))
-                return spark.createDataFrame([tuple(r) for r in f(s)], schema)
+                out = f(s)
+                if not isinstance(out, DataFrame):
+                    return spark.createDataFrame([tuple(r) for r in out], schema)
+                path = _file(spark)
+                out.to(T._parse_datatype_string(schema)).write.parquet(path)
+                return spark.read.schema(schema).parquet(path)
 
         QUERIES[f.__name__], ORACLE[f.__name__] = run, sql
         return f
@@ -67,8 +80,8 @@ def stored(schema: str, sql: str):
     return add
 
 
-def _all(s: Session, table: str) -> list:
-    return s.execute(f"Tampilkan '{table}' -:").rows
+def _all(s: Session, table: str) -> DataFrame:
+    return s.query(f"Tampilkan '{table}' -:")
 
 
 _SUPPLIER = "s_suppkey long, s_name string, s_nationkey long"
@@ -134,7 +147,7 @@ def op_transaction_conflict(s):
         t.update_key("nation", 2, {"n_regionkey": 200})
 
     s.with_transaction(change)
-    return [(k, r, len(tries) - 1) for k, _, r in _all(s, "nation")]
+    return _all(s, "nation").select("n_nationkey", "n_regionkey", F.lit(len(tries) - 1).alias("conflicts"))
 
 
 @stored("place long, s_suppkey long", "SELECT row_number() OVER (ORDER BY s_suppkey >= 0 DESC, s_suppkey) - 1 AS place, CAST(s_suppkey AS BIGINT) AS s_suppkey FROM (SELECT s_suppkey FROM supplier UNION ALL SELECT -1 UNION ALL SELECT -2) ORDER BY 1")
@@ -190,14 +203,17 @@ def op_constraints(s):
 
 @stored(_SUPPLIER, _PLAIN + " WHERE s_suppkey % 2 = 0")
 def op_restore_version(s):
-    """Compaction and clean-up leave the rows; an older version becomes the head again."""
+    """Compaction and clean-up leave the rows; an older version becomes the head again.
+
+    The odd keys go by a statement and then in four parts, however many there are, so the table is rewritten as often on any input.
+    """
     s.script("Baris_Rmv 'supplier' Dengan 's_nationkey < 3' -: Baris_Rmv 'supplier' -:")
     s.db.restore_at(s.manifest.csn - 2)
-    odd = [r for r, in s.execute("Pilih 's_suppkey' Dari 'supplier' -:").rows if r % 2]
-    s.execute("Baris_Rmv 'supplier' Dengan '" + " O: ".join(f"s_suppkey = {k}" for k in odd[:2]) + "' -:")
-    for low in range(2, len(odd), 40):
-        some = odd[low : low + 40]
-        s.execute("Baris_Rmv 'supplier' Dengan '" + " O: ".join(f"s_suppkey = {k}" for k in some) + "' -:")
+    odd = s.query("Pilih 's_suppkey' Dari 'supplier' -:").filter("s_suppkey % 2 <> 0")
+    if first := odd.orderBy("s_suppkey").limit(2).collect():
+        s.execute("Baris_Rmv 'supplier' Dengan '" + " O: ".join(f"s_suppkey = {k}" for k, in first) + "' -:")
+    for part in (1, 3, 5, 7):
+        s.bulk_delete("supplier", odd.filter(F.pmod("s_suppkey", F.lit(8)) == part))
     s.db.compact("supplier")
     s.db.vacuum()
     return _all(s, "supplier")
@@ -217,10 +233,6 @@ def op_json(s):
     return [tuple(v["value"] if isinstance(v, dict) else v for v in r) for r in found["rows"]]
 
 
-def _file(spark: SparkSession) -> str:
-    return f"file://{shared_path(spark)}/files-{uuid.uuid4().hex}"
-
-
 def op_tbl(spark: SparkSession, folder: str) -> DataFrame:
     """Delimited text with a mark at the end of each line; decimals become exact cents."""
     path = _file(spark)

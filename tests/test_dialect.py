@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import os
 import random
 from decimal import Decimal
 from fractions import Fraction
@@ -397,6 +398,35 @@ def test_bulk_and_scans(port, spark):
     assert {x.column_name: (x.rows, x.nulls, x.ndv) for x in port.table_stats("ukur").collect()} == {"no": (14, 0, 14), "nilai": (14, 5, 9)}
 
 
+def test_bulk_delete(port, spark):
+    port.execute("Buat Tabel 'jadwal' Isi 'hari & isi & dok' Dengan 'hari = T(P) & isi = U & dok = I(P)' -:")
+    days = [dt.date(2024, 5, 1 + i) for i in range(6)]
+    rows = [[day, None if k == 2 else Decimal(k), k] for k in (3, 1, 2) for day in days]
+    port.bulk_insert("jadwal", [dict(zip(("hari", "isi", "dok"), x)) for x in rows[:9]])
+    port.bulk_insert("jadwal", [dict(zip(("hari", "isi", "dok"), x)) for x in rows[9:]])
+    port.execute("Buat Tabel 'bebas' Isi 'no' Dengan 'no = I' -:")
+    shown = lambda: port.execute("Tampilkan 'jadwal' -:").rows
+    before = port.manifest.csn
+    for table, bad in (("bebas", "1L as no"), ("jadwal", "1 as dok"), ("jadwal", "date'2024-05-01' as hari, '1' as dok"), ("jadwal", "date'2024-05-01' as hari, 1.0D as dok"), ("jadwal", "timestamp_ntz'2024-05-01 00:00:00' as hari, 1L as dok")):
+        with pytest.raises(EngineError):
+            port.bulk_delete(table, spark.range(1).selectExpr(*bad.split(", ")))
+    frame = lambda keys: spark.createDataFrame(keys, "dok int, hari date, lain string")
+    assert port.bulk_delete("jadwal", frame([])) == port.bulk_delete("jadwal", frame([(9, days[0], "x"), (None, days[0], "x"), (1, None, "x")])) == 0
+    assert port.manifest.csn == before and shown() == rows  # nothing found, nothing committed or left behind
+    assert len(os.listdir(os.path.join(port.db.folder, "jadwal"))) == len(port.manifest.table("jadwal").paths) == 2
+    port.begin()
+    assert port.bulk_delete("jadwal", frame([(1, days[0], "x")])) == 1 and len(shown()) == 17
+    port.rollback()
+    assert shown() == rows
+    gone = [(k, day, "x") for k, day in itertools.product((1, 2), days[:4])]
+    assert port.bulk_delete("jadwal", frame([*gone, *gone, (7, days[1], "x")])) == 8  # keys may be repeated
+    want = [x for x in rows if (x[2], x[0], "x") not in gone]
+    assert shown() == want and port.manifest.table("jadwal").rows == len(want) and port.manifest.csn == before + 1
+    own = port.scan_rows("jadwal")  # keys read from the table itself
+    assert port.bulk_delete("jadwal", own.filter("dok = 3")) == 6 and shown() == [x for x in want if x[2] != 3]
+    assert port.bulk_delete("jadwal", own) == len(want) - 6 and shown() == [] and port.bulk_delete("jadwal", own) == 0
+
+
 def test_transactions(ships, spark):
     other = Session(spark, ships.root)
     other.execute("Pilih 'pelabuhan' -:")
